@@ -49,3 +49,7 @@ def text_or_empty(name: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  All-ASCII rows take the fast byte path of ``lower``; ``translate`` does the others."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def word_count(name: str = "text") -> Column:
+    return F.regexp_count(F.col(name), F.lit(WORD))
