@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty, word_count
+from .common import materialize, partitions, table, text_or_empty, word_count
 
 BLOCK, BUCKETS, SHARD_SLOTS, MAX_SOURCES = 256, 256, 4096, 1_000_000
 SLOTS = "shard long, slot long, sid int, epoch int, block long, take long"
@@ -188,7 +188,8 @@ class Mix:
         total = sum(-(-g // block) + 1 for g in whole)
         shards = max(1, -(-total // SHARD_SLOTS))
         make = _slot_maker(sizes, whole, shards, seed, block)
-        self.slots = spark.range(0, shards, 1, min(shards, 4096)).mapInArrow(make, SLOTS)
+        # the planner takes a range for small, whatever a function makes of it: slots grow with the input, so no broadcast
+        self.slots = spark.range(0, shards, 1, min(shards, max(8, partitions(spark)))).mapInArrow(make, SLOTS).hint("merge")
 
         # words before each document in its source: by hashed bucket, then inside the bucket
         dealt = self.documents.withColumn("bucket", F.pmod("k1", F.lit(BUCKETS)).cast("int"))
