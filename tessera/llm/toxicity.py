@@ -51,7 +51,7 @@ def edits(length: int, stem: bool) -> int:
 class Matcher:
     """The union of the entries' Levenshtein automata over their trie, made deterministic step by step."""
 
-    STATES = 200_000
+    STATES, KNOWN = 20_000, 200_000  # bounds of a worker's memory; beyond them the tables start anew
 
     def __init__(self, entries: list[tuple[str, bool]]):
         self.kids: list[dict[str, int]] = [{}]
@@ -125,7 +125,7 @@ class Matcher:
         """0 none, 1 misspelled entry, 2 stem, 3 entry."""
         if (hit := self.known.get(word)) is not None:
             return hit
-        if len(self.known) > 1_000_000 or len(self.sets) > self.STATES:
+        if len(self.known) > self.KNOWN or len(self.sets) > self.STATES:
             self.reset()
         at, caught = self.start, 0
         for c in word:
@@ -196,7 +196,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             for t in terms(text.as_py() or ""):
                 counts.setdefault(t, [0, 0])[toxic] += 1
-            if len(counts) > 1_000_000:
+            if len(counts) > 200_000:
                 yield out()
     if counts:
         yield out()
@@ -285,7 +285,8 @@ def _scorer(entries: list[tuple[str, bool]], weights: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, w = Matcher(entries), np.array(weights)
         for batch in batches:
-            x = np.array([features(t.as_py() or "", matcher) for t in batch.column("text")]).reshape(-1, FEATURES)
+            texts = batch.column("row").field("text").cast(pa.string())
+            x = np.array([features(t.as_py() or "", matcher) for t in texts]).reshape(-1, FEATURES)
             score = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
 
@@ -294,8 +295,8 @@ def _scorer(entries: list[tuple[str, bool]], weights: list[float]):
 
 def scored(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -> DataFrame:
     """``row`` (struct of the input's columns) and score, for every row."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.select("row").schema.add("score", "double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.schema.add("score", "double")
     return rows.mapInArrow(_scorer(*model), out)
 
 
