@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+SALTS = 8
+
+
+def join_salted(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """``many`` joined to ``one`` (a row per key); a key's rows are dealt by ``spread`` over ``SALTS`` tasks."""
+    salted = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return join_salted(both.filter(F.col("b") > F.col("a")), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """``links`` run from the larger end a to the smaller b."""
     low = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_salted(links, low, "a", "b").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return low.select("a", F.col("m").alias("b")).unionByName(moved)
 
 
@@ -37,3 +45,13 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
         now = materialize(_small_star(_large_star(now)).distinct(), "links")
+
+
+def smallest_of_component(nodes: DataFrame, roots: DataFrame, node: str, low: str, name: str) -> DataFrame:
+    """``nodes`` with ``name``: the smallest ``low`` in the node's component; ``roots`` as of ``components``."""
+    ends = roots.select(F.col("node").alias(node), "root").unionByName(roots.select(F.col("root").alias(node), "root").distinct())
+    placed = nodes.join(ends, node, "left")
+    linked = placed.filter(F.col("root").isNotNull())
+    named = join_salted(linked, linked.groupBy("root").agg(F.min(low).alias(name)), "root", node)
+    alone = placed.filter(F.col("root").isNull()).withColumn(name, F.col(low))
+    return named.select(*nodes.columns, name).unionByName(alone.select(*nodes.columns, name))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
-from .components import components
+from .components import components, smallest_of_component
 
 BITS, MANY = 3, 4096
 PRINTS = "doc_id long, fp long, text_hash long"
@@ -163,8 +163,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> Data
     prints = materialize(rows.mapInArrow(_prints(shingle), PRINTS), "prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(near_links(prints.select("fp").distinct(), bits))
-    placed = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
+    named = smallest_of_component(first, roots, "fp", "low", "component_id").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 

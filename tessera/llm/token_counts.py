@@ -6,8 +6,8 @@ cache lacks, encodes one representative text for each, appends the new counts as
 back to the rows.  Appends are whole files under fresh names, so readers see a batch completely or not at all, and a
 batch written twice repeats equal counts only.
 
-Skew: distinct digests come from a partial aggregate; texts move by row id, which no group of copies can heat; the
-join of counts to rows is left to AQE's skew split.
+Skew: distinct digests come from a partial aggregate; texts move by row id, which no group of copies can heat; counts of
+hot digests, whose number the partitions bound, reach their rows by broadcast.
 
 Defined cases: null text counts as empty (0 tokens); repeated rows each get the count; rows with a null id are
 encoded too; other columns are ignored; an empty table gives no rows.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import scratch, table, text_or_empty
+from .common import partitions, scratch, table, text_or_empty
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -72,8 +72,16 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
         "left_semi",
     ).select("content_digest", "text")
     chosen.mapInArrow(_counter(path, version), CACHE).write.mode("append").parquet(cache)
+    # digests of more than 1/(8 n) of the rows, under 8 n of them, get their counts by broadcast
+    n = partitions(spark)
+    total = docs.count()
+    often = digested.groupBy("content_digest").count().filter(F.col("count") * F.lit(8 * n) > F.lit(max(total, 64 * n))).select("content_digest")
+    hot = F.broadcast(known().join(F.broadcast(often), "content_digest").withColumnRenamed("n_tokens", "hot_tokens"))
+    routed = digested.join(hot, "content_digest", "left")
+    cold = routed.filter(F.col("hot_tokens").isNull()).drop("hot_tokens").join(known(), "content_digest", "left")
+    warm = routed.filter(F.col("hot_tokens").isNotNull()).withColumnRenamed("hot_tokens", "n_tokens")
     return (
-        digested.join(known(), "content_digest", "left")
+        cold.unionByName(warm)
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
 
