@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 
@@ -296,7 +297,7 @@ def _scorer(entries: list[tuple[str, bool]], weights: list[float]):
 def scored(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -> DataFrame:
     """``row`` (struct of the input's columns) and score, for every row."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = rows.schema.add("score", "double")
+    out = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scorer(*model), out)
 
 
