@@ -251,3 +251,19 @@ def test_planted_passages(spark, edge, empty):
     again = substrings.repeated_passages(edge).collect()
     assert {(r.doc_id, r.match_id) for r in again} == {(9, 6)} or {(r.doc_id, r.match_id) for r in again} == {(6, 9)}
     assert substrings.repeated_passages(empty).count() == 0
+
+
+def test_verify_keeps_spans_of_failing_wholes():
+    """Spans that don't reach the similarity together are reported one by one; exact runs are never lost."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        shared = [rng.integers(0, 1 << 31, int(n)).astype(np.uint32) for n in rng.integers(46, 90, 4)]
+        noise = lambda: rng.integers(0, 1 << 31, int(rng.integers(3, 12))).astype(np.uint32)
+        x = np.concatenate([p for s in shared for p in (s, noise())])
+        y = np.concatenate([p for s in shared for p in (noise(), s, noise())])
+        covered = np.zeros(len(x), bool)
+        for i, j, k, l in substrings.verify(x, y):
+            p, q = set(x[i:j].tolist()), set(y[k:l].tolist())
+            assert j - i >= substrings.T and len(p & q) >= 0.8 * len(p | q)
+            covered[i:j] = True
+        assert covered[np.isin(x, np.concatenate(shared))].all()
