@@ -17,10 +17,14 @@ def to_be(value: Column, width: int) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * width, "0"))
 
 
+def score_digits(key: Column, node: Column) -> Column:
+    """The first 48 bits of SHA-256 over "key:node", as 12 hex digits; they sort as the numbers do."""
+    return F.substring(F.sha2(F.concat_ws(":", key.cast("string"), node.cast("string")).cast("binary"), 256), 1, 12)
+
+
 def rendezvous_score(key: Column, node: Column) -> Column:
-    """The first 48 bits of SHA-256 over "key:node"."""
-    text = F.concat_ws(":", key.cast("string"), node.cast("string"))
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long")
+    """The same as a number."""
+    return F.conv(score_digits(key, node), 16, 10).cast("long")
 
 
 def safe_name(name: Column) -> Column:

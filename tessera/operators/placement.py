@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bytes import rendezvous_score
+from ..functions.bytes import score_digits
 
 #: Nodes are a dimension; a broadcast of more rows than this is refused and the join shuffles instead.
 MAX_NODES = 100_000
@@ -20,16 +20,22 @@ def place(keys: DataFrame, nodes: DataFrame, n: int, key: str = "key", excluded:
     """The ``n`` targets of each key: rack leaders by score, then the others by score; ties by node id.
 
     Keys are spread first, so the scored rows, a node for each key, never cross the network: both rankings use the
-    keys' partitioning.  ``excluded`` (key, node_id) rows are left out.
+    keys' partitioning.  Scores are ranked as the hex digits they come from and become numbers for the chosen rows
+    alone.  ``excluded`` (key, node_id) rows, a key's own few nodes, travel with the key and are left out unscored.
     """
     alive = small(nodes.filter(F.col("status") == "ALIVE").select("node_id", "rack"))
-    scored = keys.select(key).repartition(key).crossJoin(alive).withColumn("score", rendezvous_score(F.col(key), F.col("node_id")))
+    own = keys.select(key)
     if excluded is not None:
-        scored = scored.join(excluded.select(key, "node_id"), [key, "node_id"], "left_anti")
-    order = [F.col("score").desc(), F.col("node_id")]
+        own = own.join(excluded.groupBy(key).agg(F.collect_set("node_id").alias("__gone")), key, "left")
+    pairs = own.repartition(key).crossJoin(alive)
+    if excluded is not None:
+        pairs = pairs.filter(~F.coalesce(F.array_contains("__gone", F.col("node_id")), F.lit(False)))
+    scored = pairs.select(key, "node_id", "rack", score_digits(F.col(key), F.col("node_id")).alias("__digits"))
+    order = [F.col("__digits").desc(), F.col("node_id")]
     scored = scored.withColumn("rr", F.row_number().over(Window.partitionBy(key, "rack").orderBy(*order))).filter(F.col("rr") <= n)
     pos = F.row_number().over(Window.partitionBy(key).orderBy(F.col("rr") > 1, *order))
-    return scored.withColumn("pos", pos.cast("long")).filter(F.col("pos") <= n).select(key, "pos", "node_id", "rack", "score")
+    chosen = scored.withColumn("pos", pos.cast("long")).filter(F.col("pos") <= n)
+    return chosen.select(key, "pos", "node_id", "rack", F.conv("__digits", 16, 10).cast("long").alias("score"))
 
 
 def surrogate(keys: DataFrame, nodes: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
