@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, matched with Levenshtein automata over a trie, read in context.
 
 Fitting.  A bounded sample of labelled rows (``SAMPLE``, by hash order of the id; held-out rows never) gives, for
-words and word beginnings, in how many toxic and other documents they occur.  Entries of the lexicon are the terms
+words and word beginnings, in how many toxic and other documents they occur and how often.  Entries of the lexicon are the terms
 that mark toxic documents: whole words, or stems where many endings share one beginning.  A logistic regression over
 the same sample weighs what the matcher finds.
 
@@ -23,6 +23,7 @@ no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, table
 
-FOLDS, SAMPLE, MAX_TERMS, SUPPORT, WINDOW = 5, 10_000, 2_000, 5, 8
+FOLDS, SAMPLE, MAX_TERMS, SUPPORT, WINDOW, ODDS = 5, 10_000, 2_000, 5, 8, 3.0
 WORD = re.compile(r"\w+")
 QUOTE = re.compile("[\"“”„«»‹›]")
 #: Words of reporting and of address, in the corpus' languages.
@@ -177,48 +178,64 @@ def features(text: str, matcher: Matcher) -> list[float]:
     ]
 
 
-def terms(text: str) -> set[str]:
-    """Words (as "word ") and their beginnings of 3 to 12 letters."""
-    words = set(WORD.findall(text.lower()))
-    return {w + " " for w in words if len(w) >= 3} | {w[:k] for w in words for k in range(3, min(12, len(w)) + 1)}
+def terms(text: str) -> tuple[Counter, int]:
+    """How often words (as "word ") and their beginnings of 3 to 12 letters occur, and the number of words."""
+    words = Counter(WORD.findall(text.lower()))
+    out: Counter = Counter()
+    for w, n in words.items():
+        if len(w) >= 3:
+            out[w + " "] = n
+        for k in range(3, min(12, len(w)) + 1):
+            out[w[:k]] += n
+    return out, words.total()
+
+
+COUNTS = "term string, pos long, neg long, pos_times long, neg_times long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and occurrences of each term in toxic and other documents; the empty term counts all words."""
     counts: dict[str, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["term", "pos", "neg"]
-        )
+        cols = list(zip(*counts.values()))
+        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(cols[i], pa.int64()) for i in (1, 0, 3, 2))], [c.split()[0] for c in COUNTS.split(", ")])
         counts.clear()
         return batch
 
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            for t in terms(text.as_py() or ""):
-                counts.setdefault(t, [0, 0])[toxic] += 1
+            found, total = terms(text.as_py() or "")
+            found[""] = total
+            for t, n in found.items():
+                c = counts.setdefault(t, [0, 0, 0, 0])
+                c[toxic] += 1
+                c[2 + toxic] += n
             if len(counts) > 200_000:
                 yield out()
     if counts:
         yield out()
 
 
-def choose(counts: dict[str, tuple[int, int]], pos: int, neg: int) -> list[tuple[str, bool]]:
-    """Lexicon entries (term, is a stem) from document counts in toxic and other documents."""
+def choose(counts: dict[str, tuple[int, int, int, int]], pos: int) -> list[tuple[str, bool]]:
+    """Lexicon entries (term, is a stem) from documents and occurrences in toxic (``pos`` of them) and other documents.
 
+    A term marks toxic documents if it fills a far larger share of their words; a clean text may hold one by chance.
+    """
     least = max(SUPPORT, 0.02 * pos)  # a share of toxic documents that chance terms don't reach
+    pos_words, neg_words = counts.get("", (0, 0, 0, 0))[2:]
 
     def pure(t: str) -> bool:
-        p, n = counts.get(t, (0, 0))
-        return p >= least and np.log((p + 0.5) / (pos + 1)) - np.log((n + 0.5) / (neg + 1)) >= 2.5 and n <= 0.01 * (neg + 100)
+        p, _, p_times, n_times = counts.get(t, (0, 0, 0, 0))
+        return p >= least and np.log((p_times + 0.5) / (pos_words + 1)) - np.log((n_times + 0.5) / (neg_words + 1)) >= ODDS
 
     words = {t[:-1]: c for t, c in counts.items() if t.endswith(" ")}
     entries = set()
     kids: dict[str, list[str]] = {}
     for t in counts:
-        if not t.endswith(" ") and len(t) > 3:
+        if t and not t.endswith(" ") and len(t) > 3:
             kids.setdefault(t[:-1], []).append(t)
-    roots = [t for t in counts if not t.endswith(" ") and pure(t) and not (len(t) > 3 and pure(t[:-1]))]
+    roots = [t for t in counts if t and not t.endswith(" ") and pure(t) and not (len(t) > 3 and pure(t[:-1]))]
     for root in roots:
         at, want = root, 0.95 * counts[root][0]
         while at not in words or words[at][0] < want:
@@ -269,13 +286,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     rows = known.select("id", "toxic", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample).select("id", "toxic")
     rows = F.broadcast(docs.sparkSession.createDataFrame(rows.collect(), "id long, toxic int"))
     train = materialize(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(rows, "id").select("text", "toxic"), "toxicity-sample")
-    counted = train.mapInArrow(_count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = train.mapInArrow(_count, COUNTS).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")])
     y = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
-    pos, neg = y.get(1, 0), y.get(0, 0)
+    pos = y.get(1, 0)
     entries: list[tuple[str, bool]] = []
     if pos:
-        telling = counted.filter((F.col("pos") >= SUPPORT) & (F.col("pos") * F.lit(neg + 1.0) >= 3 * F.col("neg") * F.lit(pos + 1.0)))
-        entries = choose({r.term: (r.pos, r.neg) for r in telling.collect()}, pos, neg)
+        telling = counted.filter((F.col("term") == "") | (F.col("pos") >= max(SUPPORT, 0.02 * pos)) & (F.col("pos") * F.lit(y.get(0, 0) + 1.0) >= 3 * F.col("neg") * F.lit(pos + 1.0)))
+        entries = choose({r.term: (r.pos, r.neg, r.pos_times, r.neg_times) for r in telling.collect()}, pos)
     seen = train.mapInArrow(_featurer(entries), "x array<double>, toxic int").collect()
     x = np.array([r.x for r in seen]).reshape(-1, FEATURES)
     w = logistic(x, np.array([r.toxic for r in seen], float)) if len(seen) else np.zeros(FEATURES + 1)
