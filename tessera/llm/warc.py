@@ -167,7 +167,11 @@ def write_warc(pages: DataFrame, root: str, roll: int = ROLL, min_revisit: int =
     )
     fs, path = _filesystem(root)
     fs.create_dir(path, recursive=True)
-    sharded = both.withColumn("shard", shard_of("page_id")).repartition(shards, "shard")
+    # one number for each task that hashes to it, so that no two shards share a task
+    tries = spark.range(40 * shards).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(shards)).alias("task")).agg(F.min("k").alias("k"))
+    routes = {r.task: r.k for r in tries.collect()}
+    route = F.element_at(F.lit([routes.get(t, t) for t in range(shards)]), F.col("shard") + 1)
+    sharded = both.withColumn("shard", shard_of("page_id")).withColumn("route", route).repartition(shards, "route").drop("route")
     sharded = sharded.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "is_page", "url")
     sharded.mapInArrow(_writer(root, roll), MANIFEST).write.parquet(f"{root}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
