@@ -53,7 +53,7 @@ def edits(length: int, stem: bool) -> int:
 class Matcher:
     """The union of the entries' Levenshtein automata over their trie, made deterministic step by step."""
 
-    STATES, KNOWN = 20_000, 200_000  # bounds of a worker's memory; beyond them the tables start anew
+    STATES, KNOWN = 10_000, 100_000  # bounds of a worker's memory; beyond them the tables start anew
 
     def __init__(self, entries: list[tuple[str, bool]]):
         self.kids: list[dict[str, int]] = [{}]
@@ -211,7 +211,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = counts.setdefault(t, [0, 0, 0, 0])
                 c[toxic] += 1
                 c[2 + toxic] += n
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield out()
     if counts:
         yield out()
