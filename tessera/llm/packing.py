@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table, text_or_empty
+from .common import table, text_or_empty, trim
 
 WINDOW, SLOT, BUFFER, QUEUES = 2048, 64, 1 << 18, 8
 SENTENCE_CUT, HARD_CUT = 2, 6
@@ -165,6 +165,8 @@ def _packer(path: str, end_id: int, window: int):
                     yield out
         if docs:
             yield flush(True)
+        docs = []
+        trim()
 
     return pack
 

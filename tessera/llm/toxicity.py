@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import materialize, table, trim
 
 FOLDS, SAMPLE, MAX_TERMS, SUPPORT, WINDOW, ODDS = 5, 10_000, 2_000, 5, 8, 3.0
 WORD = re.compile(r"\w+")
@@ -307,6 +307,8 @@ def _scorer(entries: list[tuple[str, bool]], weights: list[float]):
             x = np.array([features(t.as_py() or "", matcher) for t in texts]).reshape(-1, FEATURES)
             score = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
+        matcher.reset()
+        trim()
 
     return run
 
