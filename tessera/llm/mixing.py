@@ -4,6 +4,7 @@ Every source's words are packed, in an order fixed by hashes, into blocks of ``B
 slots of the mix as its target needs; slots are dealt to output shards by multinomial draws conditional on the totals
 (multivariate hypergeometric), made down a binary tree over shards with seeds taken from the tree's nodes.  So any
 task finds its own shard's counts and offsets by walking log2(shards) nodes, and the totals meet the targets exactly.
+A task holds one shard of slots and the table of sources, whatever the sources' sizes.
 Slot j of a source maps through the source's pseudorandom permutation (a keyed Feistel network, another one each
 epoch) to a block, and slots meet blocks in a join by (source, block).  A source's last slot is cut to its target.
 
@@ -77,6 +78,20 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def preimage(value: int, n: int, key: int) -> int:
+    """The index that ``permute`` maps to ``value``: the rounds run backwards, so no other index is looked at."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask, x = np.uint64((1 << half) - 1), value
+    with np.errstate(over="ignore"):
+        while True:
+            a, b = np.array([x >> half], np.uint64), np.array([x & int(mask)], np.uint64)
+            for r in (3, 2, 1, 0):
+                a, b = b ^ (_mix(a, key * 4 + r) & mask), a
+            x = int(a[0]) << half | int(b[0])
+            if x < n:
+                return x
+
+
 def slots_needed(size: int, target: int, seed: int, sid: int, block: int = BLOCK) -> int:
     """How many slots a source's target needs, given where its short last block comes in each epoch."""
     n, out, left = -(-size // block), 0, target
@@ -87,8 +102,7 @@ def slots_needed(size: int, target: int, seed: int, sid: int, block: int = BLOCK
             continue
         m = -(-left // block)
         if short and m < n:
-            first = permute(np.arange(m), n, _key(seed, sid, epoch))
-            if (first == n - 1).any() and m * block - short < left:
+            if preimage(n - 1, n, _key(seed, sid, epoch)) < m and m * block - short < left:
                 m += 1
         elif short and m == n and n * block - short < left:
             raise AssertionError("a target within an epoch needs no more than its blocks")
@@ -146,7 +160,7 @@ def _slot_maker(sizes: list[int], goals: list[int], shards: int, seed: int, bloc
                         e = int(epoch[-1])
                         inside = int(totals[sid]) - e * n
                         laid = inside * block
-                        if sizes[sid] % block and (inside == n or (permute(np.arange(inside), n, _key(seed, sid, e)) == n - 1).any()):
+                        if sizes[sid] % block and preimage(n - 1, n, _key(seed, sid, e)) < inside:
                             laid -= n * block - sizes[sid]
                         take[-1] -= e * sizes[sid] + laid - goals[sid]
                     parts.append(np.stack([np.full(len(j), sid), epoch, index, take]))

@@ -22,7 +22,29 @@ def test_targets():
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 256, 1000])
 def test_permutation(n):
     for key in (1, 99):
-        assert sorted(mixing.permute(np.arange(n), n, key).tolist()) == list(range(n))
+        images = mixing.permute(np.arange(n), n, key).tolist()
+        assert sorted(images) == list(range(n))
+        assert [mixing.preimage(v, n, key) for v in images] == list(range(n))
+
+
+def test_slots_of_large_sources():
+    """Sources of a trillion words are planned without listing their blocks."""
+    for size, target in ((10**12 + 1, 15 * 10**11), (10**12 + 77, 10**11), (3 * 10**12, 6 * 10**12)):
+        n, slots = -(-size // 256), mixing.slots_needed(size, target, 42, 0)
+        assert slots - 2 <= target / 256 + size % 256 / 256 <= slots + 2 and slots <= 2 * n
+
+
+@pytest.mark.parametrize("size,target", [(1000, 1500), (1000, 700), (1024, 2048), (1001, 2002), (5, 3), (0, 0)])
+def test_slots_needed_is_least(size, target):
+    n, left, slots, epoch = -(-size // 256), target, 0, 0
+    while left > 0:
+        for index in mixing.permute(np.arange(n), n, mixing._key(42, 3, epoch)).tolist():
+            if left <= 0:
+                break
+            left -= size - (n - 1) * 256 if index == n - 1 else 256
+            slots += 1
+        epoch += 1
+    assert mixing.slots_needed(size, target, 42, 3) == slots
 
 
 def test_shards_partition_the_slots():
