@@ -48,10 +48,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def smallest_of_component(nodes: DataFrame, roots: DataFrame, node: str, low: str, name: str) -> DataFrame:
-    """``nodes`` with ``name``: the smallest ``low`` in the node's component; ``roots`` as of ``components``."""
+    """``nodes`` with ``name``, the smallest ``low`` in the node's component, and ``root``; ``roots`` as of ``components``."""
     ends = roots.select(F.col("node").alias(node), "root").unionByName(roots.select(F.col("root").alias(node), "root").distinct())
     placed = nodes.join(ends, node, "left")
     linked = placed.filter(F.col("root").isNotNull())
     named = join_salted(linked, linked.groupBy("root").agg(F.min(low).alias(name)), "root", node)
-    alone = placed.filter(F.col("root").isNull()).withColumn(name, F.col(low))
-    return named.select(*nodes.columns, name).unionByName(alone.select(*nodes.columns, name))
+    alone = placed.filter(F.col("root").isNull()).withColumn(name, F.col(low)).withColumn("root", F.col(node))
+    return named.select(*nodes.columns, name, "root").unionByName(alone.select(*nodes.columns, name, "root"))

@@ -13,6 +13,7 @@ Copies collapse to one fingerprint beforehand.  Components come from distributed
 Defined cases: null text counts as empty; texts without a word have fingerprint zero, linked like any other; texts of
 fewer words than a shingle hash their whole word sequence; repeated rows and ties share one fingerprint; null ids
 never become a component's id unless it has no other; other columns are ignored; an empty table gives no rows.
+``kept_rows`` keeps one row of each component, also where rows repeat or no row has an id, with all its columns.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, text_or_empty
@@ -157,24 +158,28 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
-    """doc_id, text_hash, fp, component_id (smallest id reachable), first_hash (of that row's text)."""
+    """doc_id, text_hash, fp, component_id (smallest id reachable), root (a fingerprint that names the component)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     prints = materialize(rows.mapInArrow(_prints(shingle), PRINTS), "prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(near_links(prints.select("fp").distinct(), bits))
-    named = smallest_of_component(first, roots, "fp", "low", "component_id").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = smallest_of_component(first, roots, "fp", "low", "component_id").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def kept_rows(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
-    """The input's columns; of each component the row with the smallest (id, text hash) stays."""
+    """The input's columns; of each component one row stays, that with the smallest (id, text hash)."""
     found = near_duplicates(docs, shingle, bits)
+    # components without any id are told apart by their root alone
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy(F.col("component_id").alias("__id")).agg(F.min("text_hash").alias("__hash"))
-    return docs.join(
-        stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash")), "left_semi"
-    )
+    stay = stay.groupBy("root").agg(F.min("text_hash").alias("k_hash"), F.min("component_id").alias("id"))
+    keys = ["k_hash", "k_id", "k_none"]
+    by_id = lambda c: [F.coalesce(c, F.lit(0)).alias("k_id"), c.isNull().alias("k_none")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_or_empty()).alias("k_hash"), *by_id(F.col("doc_id").cast("long")))
+    rows = rows.join(stay.select("k_hash", *by_id(F.col("id"))).hint("shuffle_hash"), keys, "left_semi")
+    # rows equal in id and text: one stays; the join has put them together
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).filter("at = 1").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

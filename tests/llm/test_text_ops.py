@@ -211,7 +211,17 @@ def test_simhash(spark, sf, edge, empty):
     assert len(rows) == edge.count() and {r.component_id for r in rows if r.fp == 0} == {3}
     kept = simhash.kept_rows(edge)
     assert kept.columns == edge.columns
-    assert simhash.near_duplicates(empty).count() == 0
+    comp = brute_components(dict(enumerate(brute_print(r.text or "") for r in edge.collect())))
+    assert kept.count() == len(set(comp.values()))
+    assert simhash.near_duplicates(empty).count() == 0 == simhash.kept_rows(empty).count()
+
+
+def test_simhash_keeps_one_of_each_component(spark):
+    """Rows that repeat wholly, and texts that no row has an id for."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "completely other words here now")
+    rows = [(7, a, 1), (7, a, 1), (7, a, 2), (None, a, 3), (None, b, 4), (None, b, 4), (None, c, 5)]
+    kept = simhash.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, k_hash long")).collect()
+    assert sorted((r.doc_id is None, r.text) for r in kept) == sorted([(False, a), (True, b), (True, c)])
 
 
 def test_simhash_chains(spark):
