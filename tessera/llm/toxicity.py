@@ -15,8 +15,8 @@ called, the word ...) discount it as quotation; address (you, du, tu ...) and ot
 Inputs of a score are the text alone: not labels, lang, source or doc_id.
 
 Defined cases: null and empty texts are scored as texts without hits; labels that are null or whose document is
-missing teach nothing; repeated labels of a document count as their largest; without any labelled toxic sample the
-lexicon is empty and all scores are the prior; ``scored`` keeps all input columns inside ``row``; an empty table gives
+missing teach nothing; labels other than 0 count as 1, repeated ones as their largest; without any labelled toxic
+sample the lexicon is empty and all scores are the prior, without any label ``UNLABELLED``, so nothing is rejected; ``scored`` keeps all input columns inside ``row``; an empty table gives
 no rows.
 """
 
@@ -41,6 +41,7 @@ QUOTE = re.compile("[\"“”„«»‹›]")
 REPORTING = frozenset("said says called calls word term quote quoted wrote writes sagte sagt nannte wort zitat schrieb dit disait appelé mot terme citation dijo dice llamó palabra término cita".split())
 ADDRESS = frozenset("you your you're yourself du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted ustedes vosotros tus".split())
 FEATURES = 7
+UNLABELLED = -2.0  # log-odds of every text where nothing was labelled: none is rejected
 
 
 def edits(length: int, stem: bool) -> int:
@@ -282,7 +283,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[str, bool]], list[float]]:
     """(lexicon, weights) from at most ``sample`` labelled rows outside the held-out fold."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("toxic").cast("int") != 0).cast("int")).alias("toxic"))
     rows = known.select("id", "toxic", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample).select("id", "toxic")
     rows = F.broadcast(docs.sparkSession.createDataFrame(rows.collect(), "id long, toxic int"))
     train = materialize(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(rows, "id").select("text", "toxic"), "toxicity-sample")
@@ -295,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
         entries = choose({r.term: (r.pos, r.neg, r.pos_times, r.neg_times) for r in telling.collect()}, pos)
     seen = train.mapInArrow(_featurer(entries), "x array<double>, toxic int").collect()
     x = np.array([r.x for r in seen]).reshape(-1, FEATURES)
-    w = logistic(x, np.array([r.toxic for r in seen], float)) if len(seen) else np.zeros(FEATURES + 1)
+    w = logistic(x, np.array([r.toxic for r in seen], float)) if len(seen) else np.r_[UNLABELLED, np.zeros(FEATURES)]
     return entries, w.tolist()
 
 
