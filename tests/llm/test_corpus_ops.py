@@ -293,3 +293,21 @@ def test_verify_keeps_spans_of_failing_wholes():
             assert j - i >= substrings.T and len(p & q) >= 0.8 * len(p | q)
             covered[i:j] = True
         assert covered[np.isin(x, np.concatenate(shared))].all()
+
+
+@pytest.mark.parametrize("side", [0, 1])
+@pytest.mark.parametrize("inserted", range(1, 14))
+def test_verify_joins_runs_around_an_insertion(side, inserted):
+    words = np.arange(94, dtype=np.uint64) + 1
+    new = np.arange(inserted, dtype=np.uint64) + 1000
+    spans = [np.r_[words[:47], new, words[47:]], words]
+    x, y = (substrings.tokens(" ".join(f"w{v}" for v in s).encode()) for s in (spans if side == 0 else spans[::-1]))
+    assert substrings.verify(x, y) == [(0, len(x), 0, len(y))]
+
+
+@pytest.mark.parametrize("changed", [0, 2, 47, 49])
+def test_verify_counts_a_changed_word_near_an_end(changed):
+    one = [f"w{k}" for k in range(50)]
+    two = [*one[:changed], "new", *one[changed + 1:]]
+    x, y = (substrings.tokens(" ".join(w).encode()) for w in (one, two))
+    assert substrings.verify(x, y) == [(0, 46, 0, 46)] and substrings.verify(x, y[:45]) == []
