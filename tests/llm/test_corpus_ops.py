@@ -311,3 +311,22 @@ def test_verify_counts_a_changed_word_near_an_end(changed):
     two = [*one[:changed], "new", *one[changed + 1:]]
     x, y = (substrings.tokens(" ".join(w).encode()) for w in (one, two))
     assert substrings.verify(x, y) == [(0, 46, 0, 46)] and substrings.verify(x, y[:45]) == []
+
+
+@pytest.mark.parametrize("versions", [3, 10, 30])
+def test_versions_of_a_passage_meet_their_base(spark, versions):
+    rng = random.Random(versions)
+    fresh = (f"w{k}" for k in range(10**9))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    rows, bases = [], {}
+    for _ in range(8):
+        base = take(55)
+        top = len(rows)
+        rows.append((top, " ".join(take(20) + base + take(20))))
+        for at in rng.sample(range(5, 50), versions):
+            bases[len(rows)] = top
+            rows.append((len(rows), " ".join(take(20) + [*base[:at], next(fresh), *base[at + 1:]] + take(20))))
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    classes = {r.doc_id: r.class_id for r in got} | {r.match_id: r.class_id for r in got}
+    lost = [k for k, top in bases.items() if classes.get(k) is None or classes[k] != classes.get(top)]
+    assert len(lost) <= len(bases) * 0.05
