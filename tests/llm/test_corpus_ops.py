@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -330,3 +331,8 @@ def test_versions_of_a_passage_meet_their_base(spark, versions):
     classes = {r.doc_id: r.class_id for r in got} | {r.match_id: r.class_id for r in got}
     lost = [k for k, top in bases.items() if classes.get(k) is None or classes[k] != classes.get(top)]
     assert len(lost) <= len(bases) * 0.05
+
+
+def test_enough_functions_for_the_similarity():
+    k, j, need = substrings.HASHES, substrings.SIMILARITY, substrings.NEED
+    assert sum(math.comb(k, i) * j**i * (1 - j) ** (k - i) for i in range(need)) < 0.001
