@@ -2,7 +2,8 @@
 
 The page is cut into tags and text by one tolerant regular expression and built into a tree (void elements, implied
 end tags, raw-text elements, cut-off pages).  Elements that never hold the article - by name (navigation, footers,
-forms, scripts ...) or by the words of their class, id or role (advert, cookie, sidebar, comments ...) - are pruned.
+forms, scripts ...) or by the words of their class, id or role (advert, cookie, sidebar, comments ...) - are pruned; forms, headers and those marked by words
+only where they hold neither the page's main article nor nearly all its text, and something else is left.
 Each paragraph passes points for its length and commas to its ancestors, full to the parent, half to the
 grandparent and less beyond; a container's points are discounted by its link density.  The best container, widened
 to the article element around it, is kept with those siblings that score or read like it.
@@ -28,7 +29,9 @@ from .common import table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+UNSEEN = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,31 +56,76 @@ AWAY = frozenset(
     "footer foot footnav header masthead topbar menu menus nav navbar navigation navigational sidebar sidebars aside rail widget widgets share sharing social sponsor sponsored sponsors promo promos promotion "
     "promoted related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip search searchbox contentinfo complementary outbrain taboola".split()
 )
+#: Elements among DROP that are kept where the article lies in them, as those marked by a word are.
+WRAPPERS = frozenset("header aside form dialog fieldset".split())
+SOFT, HARD = 1, 2
 SAFE = frozenset(["html", "body", "article", "main"])
 
 
 class Node:
     __slots__ = ("name", "parent", "kids", "points", "away", "size", "linked")
 
-    def __init__(self, name: str, parent: Node | None, away: bool = False):
+    def __init__(self, name: str, parent: Node | None, away: int = 0):
         self.name, self.parent, self.away = name, parent, away
         self.kids: list[Node | str] = []
         self.points = 0.0
         self.size = self.linked = 0
 
 
-def _away(name: str, attributes: str) -> bool:
-    if name in DROP:
-        return True
-    if name in SAFE or not attributes:
+def _hidden(attributes: str) -> bool:
+    """By the attributes ``hidden`` and ``aria-hidden`` or the style; not by words inside other values."""
+    if not UNSEEN.search(attributes):
         return False
-    if HIDDEN.search(attributes):
-        return True
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and not value.startswith("until") or name == "aria-hidden" and value == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def _away(name: str, attributes: str) -> int:
+    if name in DROP and name not in WRAPPERS:
+        return HARD
+    if name in SAFE:
+        return 0
+    if attributes and _hidden(attributes):
+        return HARD
+    if name in WRAPPERS:
+        return SOFT
     for m in NAMED.finditer(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
         if not AWAY.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return SOFT
+    return 0
+
+
+def _restore(root: Node) -> None:
+    """Keep what is softly pruned but holds the page's main article, or nearly all of its text outside links."""
+    order, todo = [], [(root, False)]
+    while todo:
+        x, pruned = todo.pop()
+        pruned = pruned or x.away == SOFT
+        order.append((x, pruned))
+        todo += [(k, pruned) for k in x.kids if type(k) is Node and k.away != HARD and k.name != "a"]
+    if not any(pruned for _, pruned in order):
+        return
+    prose: dict[Node, int] = {}
+    free = 0
+    for x, pruned in reversed(order):
+        own = sum(len(k.strip()) for k in x.kids if type(k) is str)
+        prose[x] = own + sum(prose.get(k, 0) for k in x.kids if type(k) is Node)
+        free += 0 if pruned else own
+    articles = [(x, pruned) for x, pruned in order if x.name in ("article", "main") and prose[x]]
+    if any(not pruned for _, pruned in articles):
+        return
+    up: Node | None = max((x for x, _ in articles), key=prose.__getitem__, default=None)
+    if up is not None and prose[up] > free:
+        while up is not None:
+            up.away, up = 0, up.parent
+        return
+    for x, _ in order:
+        if x.away and prose[x] > 0.9 * prose[root]:
+            x.away = 0
 
 
 def parse(page: str) -> Node:
@@ -184,7 +232,10 @@ def _chosen(root: Node) -> list[Node]:
             kept.append(k)
         elif type(k) is Node and not k.away and k.size:
             score, dense = k.points * (1 - _density(k)), _density(k)
-            if k.name not in PARAGRAPH and score >= max(10, 0.2 * top) or k.name in PARAGRAPH and k.name != "li" and (k.size > 80 and dense < 0.25 or 0 < k.size <= 80 and dense == 0 and best.name not in ("article", "main")):
+            least = max(10, 0.2 * top)
+            if best.name not in ("article", "main") and dense < 0.25:
+                least = min(0.2 * top, max(1, k.size / 100))  # a short section of prose passes by its own size
+            if k.name not in PARAGRAPH and score >= least or k.name in PARAGRAPH and k.name != "li" and (k.size > 80 and dense < 0.25 or 0 < k.size <= 80 and dense == 0 and best.name not in ("article", "main")):
                 kept.append(k)
     return kept
 
@@ -194,7 +245,20 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _restore(root)
     _measure(root)
+    text = _text(_chosen(root))
+    if not text:  # nothing but what is softly pruned
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            x.away = x.away if x.away == HARD else 0
+            todo += [k for k in x.kids if type(k) is Node and k.away != HARD]
+        text = _text([root])
+    return text
+
+
+def _text(kept: list[Node]) -> str:
     blocks, run = [], []
 
     def flush() -> None:
@@ -203,7 +267,7 @@ def extract(page: str | None) -> str:
             blocks.append(text)
         run.clear()
 
-    for top in _chosen(root):
+    for top in kept:
         flush()
         todo: list = [top]
         while todo:

@@ -336,3 +336,31 @@ def test_versions_of_a_passage_meet_their_base(spark, versions):
 def test_enough_functions_for_the_similarity():
     k, j, need = substrings.HASHES, substrings.SIMILARITY, substrings.NEED
     assert sum(math.comb(k, i) * j**i * (1 - j) ** (k - i) for i in range(need)) < 0.001
+
+
+PROSE = "The lake lies high in the hills, far from any road, and few people ever walk there before the end of June. "
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="overflow-hidden">', '<div style="overflow:hidden">', '<div class="content-sidebar-wrap">',
+    '<div class="has-sidebar no-comments">', '<form action="/">', '<div data-note="display: none">',
+])
+@pytest.mark.parametrize("inner", ["div", "article", "main"])
+def test_html_wrappers_keep_the_article(wrapper, inner):
+    end = f"</{wrapper[1:].split()[0]}>"
+    page = f'<body><nav>Home</nav>{wrapper}<{inner}><p>{PROSE * 3}</p><p>Past <a href="/hidden-lake">the lake</a> we went on.</p></{inner}>'
+    page += f'<div class="sidebar"><p>Read more of our news</p></div>{end}<div class="cookie-notice"><p>We use cookies.</p></div></body>'
+    assert html.extract(page) == " ".join((PROSE * 3).split()) + "\n\nPast the lake we went on."
+
+
+def test_html_hidden_and_comments_still_go():
+    page = '<body><div id="text"><p>%s</p></div>%s<div class="comments"><article><p>%s</p></article></div></body>'
+    for gone in ("<div hidden><p>Gone</p></div>", '<div style="color:red; display:none"><p>Gone</p></div>', '<p aria-hidden="true">Gone</p>'):
+        assert html.extract(page % (PROSE * 3, gone, PROSE)) == (PROSE * 3).strip()
+
+
+def test_html_short_last_section():
+    page = "<body>" + "".join(f"<div><h2>Part {k}</h2><p>{PROSE * n}</p></div>" for k, n in enumerate([9, 9, 1])) + "</body>"
+    assert "Part 2" in html.extract(page)
+    assert html.extract('<body><div class="widget">Only this line.</div></body>') == "Only this line."
+    assert html.extract(f'<body><div class="ad">{PROSE}</div><article><h1>Short</h1></article></body>') == "Short"
