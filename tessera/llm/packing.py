@@ -1,9 +1,9 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 A partition's documents form one token stream, in the order they are read; each is encoded and closed with an end id.
-Candidate cuts are document ends (free), sentence ends (a small penalty, at most one in every ``SLOT`` tokens) and,
-where neither comes for a window's length, hard cuts.  A transition from cut i to cut j lays ceil(L/2048) windows over
-the L tokens between: all but the last are full and end in hard cuts, the last is padded.  With
+Candidate cuts are document ends (free), all sentence ends (a small penalty) and, where neither comes for a window's
+length, hard cuts.  A transition from cut i to cut j lays ceil(L/2048) windows over the L tokens between: all but the
+last are full and end in hard cuts, the last is padded.  With
 ``g(i) = cost(i) + position(i)`` the best i for a given number of windows is a sliding-window minimum, kept in one
 monotone queue each, so a candidate costs O(1).  The stream's last stretch may also be laid out as sequences whose
 lengths are powers of two, which need no padding.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import table, text_or_empty, trim
 
-WINDOW, SLOT, BUFFER, QUEUES = 2048, 64, 1 << 18, 8
+WINDOW, BUFFER, QUEUES = 2048, 1 << 18, 8
+SLOT = 64  # spacing of the sentence ends that tests plant; no bound on cuts
 SENTENCE_CUT, HARD_CUT = 2, 6
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,8 +46,6 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, final: bool, window: i
     """Ends of the windows that cover [0, doc_ends[-1]); unless ``final``, only those that later tokens can't change."""
     total = int(doc_ends[-1])
     inner = sentence_ends[~np.isin(sentence_ends, doc_ends)]
-    slots = inner // SLOT
-    inner = inner[np.r_[slots[1:] != slots[:-1], True]] if len(inner) else inner
     at = np.union1d(doc_ends, inner)
     free = np.isin(at, doc_ends)
     gaps = np.diff(np.r_[0, at])

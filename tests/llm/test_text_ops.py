@@ -139,6 +139,23 @@ def test_packing_plan_is_optimal(seed):
     assert cost <= brute_plan(doc_ends.tolist(), sentences.tolist(), window) + 1e-9
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_tries_every_sentence_end(seed):
+    rng = np.random.default_rng(seed)
+    window = 128
+    doc_ends = np.cumsum(rng.integers(100, 400, 12))
+    sentences = np.flatnonzero(rng.random(int(doc_ends[-1])) < 0.1)[1:]
+    ends = packing.plan(doc_ends, sentences, True, window)
+    cost, free, soft = 0, set(doc_ends.tolist()), set(sentences.tolist())
+    for a, b in zip([0, *ends], ends):
+        n = b - a
+        assert 0 < n <= window
+        cost += 0 if n & (n - 1) == 0 and b > doc_ends[-1] - window else window - n
+        if b != doc_ends[-1]:
+            cost += 0 if b in free else packing.SENTENCE_CUT if b in soft else packing.HARD_CUT
+    assert cost <= brute_plan(doc_ends.tolist(), sentences.tolist(), window) + 1e-9
+
+
 def test_packing_carries_over(spark, monkeypatch):
     big = spark.createDataFrame([(i, "word and more. " * (i % 700)) for i in range(300)], "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(packing, "BUFFER", 1 << 15)
