@@ -114,20 +114,58 @@ def _key(seed: int, sid: int, epoch: int) -> int:
     return (seed * 1_000_003 + sid) * 1_009 + epoch
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among n drawn from good + bad; by ratio of uniforms (Stadlober's HRUA) past the library's range."""
+    if good < 1_000_000_000 and bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    total, m = good + bad, min(n, good + bad - n)
+    less, more = min(good, bad), max(good, bad)
+    if min(less, m) < 10:  # few draws or few of a kind: one by one
+        left, hits = less, 0
+        if m <= less:
+            for i in range(m):
+                hit = int(rng.integers(total - i)) < left
+                left, hits = left - hit, hits + hit
+        else:
+            room = m
+            for i in range(less):
+                hit = int(rng.integers(total - i)) < room
+                room, hits = room - hit, hits + hit
+        z = hits
+    else:
+        share = less / total
+        centre = m * share + 0.5
+        spread = math.sqrt((total - m) * m * share * (1 - share) / (total - 1) + 0.5)
+        width = 1.7155277699214135 * spread + 0.8989161620588988
+        mode = (m + 1) * (less + 1) // (total + 2)
+        weight = lambda k: sum(math.lgamma(x + 1) for x in (k, less - k, m - k, more - m + k))
+        top = weight(mode)
+        while True:
+            x, y = 1 - rng.random(), rng.random()
+            z = math.floor(centre + width * (y - 0.5) / x)
+            if 0 <= z <= min(m, less) and 2 * math.log(x) <= top - weight(z):
+                break
+    if good > bad:
+        z = m - z
+    return good - z if m < n else z
+
+
 def _draw(counts: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
-    """n of the counted slots without replacement; a proportional part first where counts pass the sampler's range."""
+    """n of the counted slots without replacement; source by source where counts pass the sampler's range."""
     total = int(counts.sum())
     if n <= 0 or total == 0:
         return np.zeros_like(counts)
     if n >= total:
         return counts.copy()
-    base = np.zeros_like(counts)
-    if total >= 900_000_000:
-        base = np.array([int(c) * n // total for c in counts.tolist()], np.int64)
-        scale = max(1, total // 400_000_000)
-        rest = np.minimum(counts - base, np.maximum(1, (counts - base) // scale))
-        return base + np.minimum(np.random.default_rng(seed).multivariate_hypergeometric(rest, min(n - int(base.sum()), int(rest.sum()))), counts - base)
-    return np.random.default_rng(seed).multivariate_hypergeometric(counts, n)
+    rng = np.random.default_rng(seed)
+    if total < 900_000_000:
+        return rng.multivariate_hypergeometric(counts, n)
+    out, left = np.zeros_like(counts), n
+    for i, c in enumerate(counts.tolist()):
+        total -= c
+        out[i] = _hypergeometric(rng, c, total, left) if total else left
+        left -= int(out[i])
+    return out
 
 
 def shard_counts(shard: int, shards: int, totals: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -364,3 +364,15 @@ def test_html_short_last_section():
     assert "Part 2" in html.extract(page)
     assert html.extract('<body><div class="widget">Only this line.</div></body>') == "Only this line."
     assert html.extract(f'<body><div class="ad">{PROSE}</div><article><h1>Short</h1></article></body>') == "Short"
+
+
+@pytest.mark.parametrize("counts", [[3_000_000_000, 2_000_000_000, 1_000_000_000], [2_000_000_000, 5, 400_000, 1_500_000_000]])
+def test_large_draws_vary_as_small_ones_do(counts):
+    counts = np.array(counts)
+    total = int(counts.sum())
+    n = total // 2
+    draws = np.array([mixing._draw(counts, n, (k, 0, 1)) for k in range(600)])
+    assert (draws.sum(axis=1) == n).all() and (draws >= 0).all() and (draws <= counts).all()
+    sd = np.sqrt(n * (counts / total) * (1 - counts / total) * (total - n) / (total - 1))
+    assert (np.abs(draws.mean(axis=0) - n * counts / total) < 5 * sd / np.sqrt(600)).all()
+    assert (np.abs(draws.std(axis=0) / sd - 1) < 0.2).all()
