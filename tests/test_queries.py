@@ -1,5 +1,10 @@
 """Every registered query runs; those with SQL equal DuckDB's result."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pandas as pd
 import pytest
@@ -40,3 +45,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("tessera/llm", "tests/llm"), ("corpus_pipeline.py",), ("tessera/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_the_llm_folders(tmp_path, gone):
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(top, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n.startswith(".") or n == "__pycache__" or os.path.relpath(os.path.join(folder, n), top) in gone])
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.returncode == 0, out.stderr
+    n = len(registry.QUERIES) if "tessera/llm" in gone else len(registry.QUERIES) + 10
+    assert out.stdout.split() == [str(n), "False", "True"]
