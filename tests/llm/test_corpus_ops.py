@@ -2,11 +2,11 @@
 
 import base64
 import hashlib
-import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,9 +274,9 @@ def test_planted_passages(spark, edge, empty):
     got = substrings.repeated_passages(df).collect()
     seen = {r.doc_id for r in got} | {r.match_id for r in got}
     assert seen == {i for i in range(60) if i % 3 == 0 or i % 10 == 1} | {5, 100}
-    assert {(r.doc_id, r.match_id, r.class_id) for r in got if 100 in (r.doc_id, r.match_id)} == {(100, 5, 5)}
+    assert {(r.doc_id, r.match_id, r.class_id) for r in got if 100 in (r.doc_id, r.match_id)} == {(100, 5, 5), (5, 100, 5)}
     again = substrings.repeated_passages(edge).collect()
-    assert {(r.doc_id, r.match_id) for r in again} == {(9, 6)} or {(r.doc_id, r.match_id) for r in again} == {(6, 9)}
+    assert {(r.doc_id, r.match_id, r.class_id) for r in again} == {(9, 6, 6), (6, 9, 6)}  # a row for either document
     assert substrings.repeated_passages(empty).count() == 0
 
 
@@ -333,9 +333,58 @@ def test_versions_of_a_passage_meet_their_base(spark, versions):
     assert len(lost) <= len(bases) * 0.05
 
 
-def test_enough_functions_for_the_similarity():
-    k, j, need = substrings.HASHES, substrings.SIMILARITY, substrings.NEED
-    assert sum(math.comb(k, i) * j**i * (1 - j) ** (k - i) for i in range(need)) < 0.001
+def test_enough_bands_for_the_similarity():
+    assert (1 - substrings.SIMILARITY**2) ** substrings.BANDS < 0.001
+
+
+@pytest.mark.parametrize("line", [0, 25, 35, 45])
+def test_exact_passages_around_a_frequent_line(spark, line):
+    """Pairs that share 52 words, some of them a line that many other documents hold too: none is lost."""
+    rng = random.Random(line)
+    fresh = (f"w{k}" for k in range(10**9))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    common, rows = take(line), []
+    for _ in range(50):
+        own = take(52 - line)
+        at = rng.randint(0, len(own))
+        rows += [take(30) + own[:at] + common + own[at:] + take(30) for _ in range(2)]
+    rows += [take(40) + common + take(40) for _ in range(200)]
+    got = substrings.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(6)).collect()
+    classes = {r.doc_id: r.class_id for r in got}
+    assert all(classes[k] == classes[k + 1] for k in range(0, 100, 2))
+    if line < 40:  # the line alone makes nothing alike
+        assert len(classes) == 100 and len(set(classes.values())) == 50
+
+
+def test_long_keys_take_the_same_links(spark, monkeypatch):
+    """A key of more than HELD rows gives the classes that it gives below."""
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(words, k=60) + ["the"] * 60 + rng.choices(words, k=60))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    toks = df.select(F.col("doc_id").alias("uid"), "text").mapInArrow(substrings._tokenized, substrings.TOKENS)
+    batches = [pa.RecordBatch.from_pandas(toks.toPandas(), schema=pa.schema([("uid", pa.int64()), ("tokens", pa.binary())]), preserve_index=False)]
+    monkeypatch.setattr(substrings, "BATCH", 1)  # nothing is linked before the shuffle
+    table = pa.Table.from_batches(list(substrings._exact_windows(batches))).sort_by("key")
+    found = {}
+    for held in (1 << 15, 4):
+        monkeypatch.setattr(substrings, "HELD", held)
+        out = pa.Table.from_batches(list(substrings._exact_links(table.to_batches(max_chunksize=7)))).to_pylist()
+        by, roots = defaultdict(set), {k: k for k in range(80)}
+        for r in out:
+            if r["n"]:
+                by[r["a"], r["b"]].add(0)
+        loose = defaultdict(list)
+        for r in out:
+            if not r["n"]:
+                loose[r["b"]].append(r["a"])
+        by = set(by) | {(x, g[0]) for g in loose.values() for x in g}
+        for _ in range(80):
+            for a, b in by:
+                roots[a] = roots[b] = min(roots[a], roots[b])
+        found[held] = roots
+        assert bool(loose) == (held == 4)
+    assert found[4] == found[1 << 15] and len(set(found[4].values())) < 80
 
 
 PROSE = "The lake lies high in the hills, far from any road, and few people ever walk there before the end of June. "
