@@ -1,20 +1,22 @@
 """Shared plumbing of the training-data operators.
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``; executors may be lost at any
-time, so nothing is kept on one machine.  Where the setting is unset (tests, one machine) a local folder is used.
+time, so nothing is kept on one machine.  Where the setting is unset, a local folder is used on a single machine; on a
+cluster that is an error.
 """
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, shared_dir  # noqa: F401, operators take them from here
+
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,21 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's own shuffle files go with it, where Spark can do that; they would stay until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
