@@ -1,18 +1,24 @@
-"""Connected components by alternating large-star and small-star joins.
+"""Connected components: parts of the links first, each in a task's memory, then large-star and small-star joins.
 
-Each round is two shuffled aggregates and joins over the links, written to the shared folder, so a lost executor
+A task takes about ``LOCAL`` links and leaves a star of each component that it sees; where all links are one such part,
+that is the result.  Else rounds of star joins follow.  Each round is two shuffled aggregates and joins over the links, written to the shared folder, so a lost executor
 costs at most a round; nothing about single links reaches the driver but two sums that tell whether a round changed
 anything.  The number of rounds is logarithmic in the longest path.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-SALTS = 8
+SALTS, LOCAL = 8, 100_000
+LINKS = "a long, b long"
 
 
 def join_salted(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
@@ -34,10 +40,39 @@ def _small_star(links: DataFrame) -> DataFrame:
     return low.select("a", F.col("m").alias("b")).unionByName(moved)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component among these links) of all nodes that aren't the smallest."""
+    nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a):]
+    low = np.arange(len(nodes))
+    while True:
+        up = low.copy()
+        np.minimum.at(up, low[x], low[y])
+        np.minimum.at(up, low[y], low[x])
+        while (up != up[up]).any():
+            up = up[up]
+        up = up[low]
+        if (up == low).all():
+            break
+        low = up
+    moved = low != np.arange(len(nodes))
+    return nodes[moved], nodes[low[moved]]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in stars(*(np.concatenate(c) for c in zip(*held)))], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long) that is not its component's smallest."""
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now = materialize(now, "links")
+    parts = -(-now.count() // LOCAL)
+    now = materialize(now.repartition(max(1, parts)).mapInArrow(_local, LINKS), "links")
+    if parts <= 1:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     while True:
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())

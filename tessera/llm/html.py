@@ -3,7 +3,9 @@
 The page is cut into tags and text by one tolerant regular expression and built into a tree (void elements, implied
 end tags, raw-text elements, cut-off pages).  Elements that never hold the article - by name (navigation, footers,
 forms, scripts ...) or by the words of their class, id or role (advert, cookie, sidebar, comments ...) - are pruned; forms, headers and those marked by words
-only where they hold neither the page's main article nor nearly all its text, and something else is left.
+only where they hold neither the page's main article nor nearly all its text, and something else is left.  Words that
+articles use of themselves (related, search, social, header ...) prune only what is short or mostly links; the header
+of an article stays where it holds a heading.
 Each paragraph passes points for its length and commas to its ancestors, full to the parent, half to the
 grandparent and less beyond; a container's points are discounted by its link density.  The best container, widened
 to the article element around it, is kept with those siblings that score or read like it.
@@ -12,7 +14,8 @@ Every block of what is kept comes out in page order: character references decode
 included) as single spaces, trimmed, blocks joined by a blank line.  Nothing else is dropped or shortened.
 
 Defined cases: null, empty and text-free pages give the empty text; pages without any scored paragraph give all text
-that isn't pruned; repeated rows are extracted each; other columns are ignored; an empty table gives no rows.
+that isn't pruned; repeated rows are extracted each; other columns are ignored; an empty table gives no rows.  A long
+page is parsed whole, as a tree in one task's memory of a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp svg math".split())
-DROP = frozenset("head nav footer header aside form button select script style noscript iframe object canvas svg math template dialog menu textarea title label fieldset audio video map".split())
+DROP = frozenset("head nav footer header aside form button select script style noscript iframe object canvas svg math template dialog menu textarea title fieldset audio video map".split())
 BLOCK = frozenset("html body main article section div p pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 figure figcaption address details summary hr center header footer nav aside form fieldset hgroup".split())
 PARAGRAPH = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Opening one of these ends an open element of the set, unless an element of the second set lies between.
@@ -53,12 +56,20 @@ ENDS = {
 #: Words of a class, id or role that mark what isn't the article.
 AWAY = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus respond replies consent cookie cookies gdpr notice notices "
-    "footer foot footnav header masthead topbar menu menus nav navbar navigation navigational sidebar sidebars aside rail widget widgets share sharing social sponsor sponsored sponsors promo promos promotion "
-    "promoted related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip search searchbox contentinfo complementary outbrain taboola".split()
+    "footer footnav masthead topbar menu menus nav navbar navigation navigational sidebar sidebars aside widget widgets sponsor sponsored sponsors promo promos "
+    "promoted newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip searchbox contentinfo outbrain taboola".split()
 )
+#: Words that mark the same, but that parts of articles carry too: only short or linked blocks go.
+PERHAPS = frozenset("foot header rail share sharing social promotion related recommended recommendations search complementary".split())
+#: Before a word of these it says what a block lacks or has beside it.
+BESIDE = frozenset("no with has without hide".split())
+ARTICLE = frozenset("article entry post story content".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements among DROP that are kept where the article lies in them, as those marked by a word are.
 WRAPPERS = frozenset("header aside form dialog fieldset".split())
-SOFT, HARD = 1, 2
+SOFT, HARD, LOOSE = 1, 2, 3
+#: A block of at least so many characters, at most a quarter of them linked, is prose.
+PROSE = 200
 SAFE = frozenset(["html", "body", "article", "main"])
 
 
@@ -92,11 +103,39 @@ def _away(name: str, attributes: str) -> int:
         return HARD
     if name in WRAPPERS:
         return SOFT
+    loose = 0
     for m in NAMED.finditer(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
-        if not AWAY.isdisjoint(WORDS.findall(value)):
+        named = [WORDS.findall(x) for x in value.split()]
+        words = [w for found in named for w, before in zip(found, ["", *found]) if before not in BESIDE]
+        if not AWAY.isdisjoint(words):
             return SOFT
-    return 0
+        if not PERHAPS.isdisjoint(words):
+            loose = 0 if "header" in words and not ARTICLE.isdisjoint(words) else LOOSE
+    return loose
+
+
+def _settle(root: Node) -> None:
+    """Loosely marked blocks that read as prose stay, and headers inside an article that hold a heading."""
+    order, todo, loose = [], [(root, False)], False
+    while todo:
+        x, inside = todo.pop()
+        order.append((x, inside))
+        loose = loose or x.away == LOOSE or x.away == SOFT and x.name == "header"
+        todo += [(k, inside or x.name in ("article", "main")) for k in x.kids if type(k) is Node and k.away != HARD]
+    if not loose:
+        return
+    size: dict[Node, tuple[int, int, bool]] = {}
+    for x, inside in reversed(order):
+        kids = [size[k] for k in x.kids if type(k) is Node and k.away != HARD]
+        own = sum(len(k.strip()) for k in x.kids if type(k) is str) + sum(k[0] for k in kids)
+        linked = own if x.name == "a" else sum(k[1] for k in kids)
+        titled = x.name in HEADING or any(k[2] for k in kids)
+        size[x] = own, linked, titled
+        if x.away == LOOSE:
+            x.away = 0 if own >= PROSE and 4 * linked < own or inside and titled and 4 * linked < own else SOFT
+        elif x.away == SOFT and x.name == "header" and inside and titled and 4 * linked < own:
+            x.away = 0
 
 
 def _restore(root: Node) -> None:
@@ -161,7 +200,7 @@ def parse(page: str) -> Node:
                 up = up.parent
         node = Node(name, at, _away(name, m[3]))
         at.kids.append(node)
-        if name in RAW:
+        if name in RAW and not (name in ("svg", "math") and m[3].endswith("/")):
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, pos)
             pos = end.end() if end else n
         elif name not in VOID and not m[3].endswith("/"):
@@ -245,6 +284,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     _restore(root)
     _measure(root)
     text = _text(_chosen(root))

@@ -4,13 +4,14 @@ import base64
 import hashlib
 import random
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import html, mixing, substrings, toxicity, warc
+from tessera.llm import html, mixing, simhash, substrings, toxicity, warc
 
 
 def test_targets():
@@ -425,3 +426,109 @@ def test_large_draws_vary_as_small_ones_do(counts):
     sd = np.sqrt(n * (counts / total) * (1 - counts / total) * (total - n) / (total - 1))
     assert (np.abs(draws.mean(axis=0) - n * counts / total) < 5 * sd / np.sqrt(600)).all()
     assert (np.abs(draws.std(axis=0) / sd - 1) < 0.2).all()
+
+
+@pytest.mark.parametrize("mark", ['id="related-work"', 'class="job-search-tips"', 'id="social"', 'class="layout with-sidebar"', 'class="no-comments"'])
+def test_html_blocks_that_articles_name_stay(mark):
+    page = f'<body><nav>Home</nav><article><p>{PROSE * 3}</p><div {mark}><p>{PROSE * 3}</p></div></article></body>'
+    assert html.extract(page) == "\n\n".join([(PROSE * 3).strip()] * 2)
+
+
+def test_html_titles_labels_and_closed_pictures():
+    page = f'<body><article><header><h1>The lake</h1></header><p>{PROSE * 3}</p></article></body>'
+    assert html.extract(page) == "The lake\n\n" + (PROSE * 3).strip()
+    page = f'<body><div class="entry-header"><h1>The lake</h1></div><article><p>Vote <label>yes</label> or no. {PROSE * 3}</p><p>Lead, <svg class="i"/>then more.</p></article></body>'
+    assert html.extract(page).endswith("\n\nLead, then more.") and "Vote yes or no." in html.extract(page)
+    links = "".join(f'<li><a href="/{k}">Another story, number {k}, of the lake and the hills</a></li>' for k in range(9))
+    page = f'<body><header class="header"><p>The Daily Lake</p></header><article><p>{PROSE * 3}</p><div class="related"><ul>{links}</ul></div><header><a href="/">Home</a></header></article></body>'
+    assert html.extract(page) == (PROSE * 3).strip()
+
+
+class SlowArticle(HTMLParser):
+    """The blocks of a page's article elements, by the standard library's parser: a plain reading of simple pages."""
+
+    GONE = {"nav", "footer", "script", "style", "head", "form", "aside"}
+    BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "article", "blockquote", "section", "table", "tr", "td"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.gone, self.run, self.blocks = 0, 0, [], []
+
+    def close_block(self):
+        if text := " ".join("".join(self.run).split()):
+            self.blocks.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        self.gone += tag in self.GONE
+        self.depth += tag == "article"
+        if tag in self.BLOCKS:
+            self.close_block()
+        elif tag == "br":
+            self.run.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.close_block()
+        self.gone -= tag in self.GONE
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth > 0 and self.gone <= 0:
+            self.run.append(data)
+
+
+def test_html_equals_a_plain_reading(spark, sf):
+    """Every page of the table against an independent, slower extractor."""
+    got = {r.page_id: r for r in html.op2_html_extraction(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        slow = SlowArticle()
+        slow.feed(r.html)
+        slow.close()
+        slow.close_block()
+        want = "\n\n".join(slow.blocks)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_simhash_splits_large_keys(spark, monkeypatch, seed):
+    """Links of a key that is dealt out anew make the components of all pairs."""
+    rng = np.random.default_rng(seed)
+    fixed = rng.integers(0, 1 << 32)
+    base = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for _ in range(260):
+        x = int(rng.choice(list(fps)))
+        for bit in rng.integers(0, 32, rng.integers(1, 4)):
+            x ^= 1 << int(bit)
+        fps.add(x)
+    fps = sorted(x | int(fixed) << 32 for x in fps)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    key = (33 << 32) | (int(fixed) & ~2)
+    rows = pa.RecordBatch.from_arrays([pa.array([key] * len(fps)), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "fp"])
+    batches = [rows.slice(at, 7) for at in range(0, rows.num_rows, 7)]
+    out = pa.Table.from_batches(list(simhash._meet(3)(iter(batches)))).to_pylist()
+    loose = sorted((r["key"], r["a"]) for r in out if r["key"] is not None)
+    assert loose and all(r["key"] is not None for r in out)
+    again = pa.RecordBatch.from_arrays([pa.array([k for k, _ in loose]), pa.array([f for _, f in loose])], ["key", "fp"])
+    links = pa.Table.from_batches(list(simhash._meet(3, True)(iter([again.slice(at, 11) for at in range(0, again.num_rows, 11)])))).to_pylist()
+
+    def roots(pairs):
+        at = {f: f for f in fps}
+
+        def find(x):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for a, b in pairs:
+            at[find(a)] = find(b)
+        groups = defaultdict(set)
+        for f in fps:
+            groups[find(f)].add(f)
+        return sorted(map(sorted, groups.values()))
+
+    unsigned = lambda x: x & (1 << 64) - 1
+    assert roots((unsigned(r["a"]), unsigned(r["b"])) for r in links) == roots((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3)
