@@ -14,7 +14,7 @@ def be_uint(data: Column, offset: int | Column, width: int) -> Column:
 
 def to_be(value: Column, width: int) -> Column:
     """The last ``width`` bytes of an integer, big-endian."""
-    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * width, "0"))
+    return F.unhex(F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * width)))
 
 
 def score_digits(key: Column, node: Column) -> Column:
@@ -27,6 +27,23 @@ def rendezvous_score(key: Column, node: Column) -> Column:
     return F.conv(score_digits(key, node), 16, 10).cast("long")
 
 
+def padded(text: Column, width: int) -> Column:
+    """Text cut or filled up with blanks to a table's column width."""
+    return F.rpad(text, width, " ")
+
+
+def escape_html(text: Column) -> Column:
+    """The characters that HTML reserves, as character references."""
+    for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(plain), F.lit(reference))
+    return text
+
+
+def iso_time(millis: Column) -> Column:
+    """UTC time of epoch milliseconds as ISO 8601; the session's time zone is taken to be UTC."""
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def safe_name(name: Column) -> Column:
     """File-system name of a chunk id."""
     return F.regexp_replace(name, r"[^a-zA-Z0-9_\-\.]", "_")

@@ -41,8 +41,18 @@ def roots(items: DataFrame) -> DataFrame:
     return leaves(items).select("node_id", "key", "leaf").groupBy("node_id").applyInArrow(run, "node_id long, items long, root string")
 
 
-def bucket_roots(items: DataFrame, levels: int = 4) -> DataFrame:
-    """node_id, root of a tree of fixed shape: 2^levels buckets by leaf prefix, then pairs up, level by level."""
+def bucket_levels(items: DataFrame, leaves_a_bucket: int = 256) -> int:
+    """Levels that leave about ``leaves_a_bucket`` leaves of the largest node in a bucket, 16 at most."""
+    most = items.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return min(16, max(1, (most // leaves_a_bucket).bit_length()))
+
+
+def bucket_roots(items: DataFrame, levels: int | None = None) -> DataFrame:
+    """node_id, root of a tree of fixed shape: 2^levels buckets by leaf prefix, then pairs up, level by level.
+
+    All sides of a comparison need the same ``levels``; by default they follow the largest node's items.
+    """
+    levels = bucket_levels(items) if levels is None else levels
     bucket = F.conv(F.substring("leaf", 1, 4), 16, 10).cast("int") % (1 << levels)
     now = leaves(items).groupBy("node_id", bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "").cast("binary"), 256).alias("h"))
     for _ in range(levels):

@@ -36,6 +36,12 @@ def list_prefix(objects: DataFrame, bucket: str | None, prefix: str, limit: int
     return out if limit is None else out.orderBy(order).limit(limit)
 
 
+def list_objects(versions: DataFrame, bucket: str, prefix: str = "", limit: int = 1000) -> DataFrame:
+    """Live objects of a bucket by prefix, in insertion order, ``limit`` at most."""
+    mine = versions.filter((F.col("bucket") == bucket) & F.col("key").cast("string").startswith(prefix))
+    return live(mine).orderBy("seq").limit(limit)
+
+
 def tombstones(versions: DataFrame, deletes: DataFrame) -> DataFrame:
     """DELETE: status 204 and a tombstone row for live keys, 404 for absent or deleted ones."""
     now = latest(versions).select(*KEY, "is_deleted", F.col("seq").alias("last_seq"), "size")

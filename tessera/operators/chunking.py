@@ -18,12 +18,18 @@ def chunks(objects: DataFrame, size: int = 1 << 20) -> DataFrame:
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.concat(F.lit("chk-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("idx").cast("string")).alias("chunk_id"), offset.cast("long").alias("offset"), F.substring("body", offset + 1, F.lit(size)).alias("payload"))
 
 
-def read_range(chunked: DataFrame, start: int, end: int) -> DataFrame:
-    """Bytes [start, end] of each object: chunks that don't overlap are never gathered."""
+def read_range(chunked: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """Bytes [start, end] of each object, to its last byte if ``end`` is None: chunks that don't overlap are never gathered."""
+    if end is None:
+        end = (1 << 31) - 2
     size = F.length("payload")
     hit = chunked.filter((F.col("offset") <= end) & (F.col("offset") + size > start))
     lo = F.greatest(F.lit(0), F.lit(start) - F.col("offset"))
     hi = F.least(size, F.lit(end + 1) - F.col("offset"))
     cut = hit.select("doc_id", "idx", F.substring("payload", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "piece"))), lambda x: x.piece)
-    return cut.groupBy("doc_id").agg(ordered.alias("pieces"), F.count(F.lit(1)).alias("chunks_read")).select("doc_id", F.aggregate("pieces", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)).alias("body"), "chunks_read")
+    return cut.groupBy("doc_id").agg(joined("piece", "idx").alias("body"), F.count(F.lit(1)).alias("chunks_read"))
+
+
+def joined(piece: str, order: str) -> Column:
+    """Aggregate: the pieces of a body end to end, each copied once."""
+    return F.expr(f"listagg({piece}) WITHIN GROUP (ORDER BY {order})")

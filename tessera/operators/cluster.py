@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import offsets, range_of, splitters
 from .placement import small
 
 
@@ -60,6 +61,27 @@ def severed(a: DataFrame, b: DataFrame) -> DataFrame:
     return ab.unionByName(ab.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def reconnect(links: DataFrame, healed: DataFrame) -> DataFrame:
+    """Severed links left after nodes (node_id) are connected again: none that begins or ends at one."""
+    out = links
+    for end in ("src", "dst"):
+        out = out.join(healed.select(F.col("node_id").alias(end)), end, "left_anti")
+    return out.select("src", "dst")
+
+
+def transitions(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Node status after events (seq, op, node_id): kill, revive, or heal, which revives all.
+
+    A node's last event counts, unless a heal came after it; other ops are ignored.
+    """
+    last = events.filter(F.col("op").isin("kill", "revive")).groupBy("node_id").agg(F.max(F.struct("seq", "op")).alias("last"))
+    healed = events.filter(F.col("op") == "heal").agg(F.max("seq").alias("healed"))
+    own = nodes.join(last, "node_id", "left").crossJoin(F.broadcast(healed))
+    recent = F.col("last.seq") > F.coalesce("healed", F.lit(-(1 << 62)))
+    status = F.when(recent, F.when(F.col("last.op") == "kill", "DEAD").otherwise("ALIVE")).when(F.col("healed").isNotNull(), "ALIVE").otherwise(F.col("status"))
+    return own.select("node_id", "rack", status.alias("status"))
+
+
 def blocked(calls: DataFrame, links: DataFrame, isolated: DataFrame) -> DataFrame:
     """``calls`` (src, dst) with blocked: an isolated end, or the link cut either way."""
     lone = isolated.select("node_id")
@@ -77,12 +99,21 @@ def percentile(values: Column, p: float) -> Column:
 
 
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, p50, p95, p99 per group by exact ranks, without gathering a group: ranks come from a windowed sort."""
-    from pyspark.sql import Window
-
-    ranked = samples.select(group, F.col(value).alias("v")).withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    pick = lambda p: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("v")))
-    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+    """n, mean, p50, p95, p99 per group by exact ranks.
+
+    Values are dealt into ranges, ranges are counted, and only those that hold a wanted rank are sorted, each by itself.
+    """
+    rows = samples.select(group, F.col(value).alias("v"))
+    ranged = rows.withColumn("__range", range_of(F.col("v"), splitters(rows, "v")))
+    counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    wanted = counted.select(group, "n", *[F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1).alias(name) for name, p in ranks.items()])
+    held = offsets(ranged, [], [group]).join(wanted, group)
+    inside = lambda name: (F.col(name) >= F.col("__ahead")) & (F.col(name) < F.col("__ahead") + F.col("__size"))
+    held = held.filter(inside("p50") | inside("p95") | inside("p99")).select(group, "__range", "__ahead", *ranks)
+    ordered = ranged.join(held, [group, "__range"]).withColumn("__at", F.col("__ahead") + F.row_number().over(Window.partitionBy(group, "__range").orderBy("v")) - 1)
+    picked = ordered.groupBy(group).agg(*[F.max(F.when(F.col("__at") == F.col(name), F.col("v"))).alias(name) for name in ranks])
+    return counted.join(picked, group).select(group, "n", "mean", *ranks)
 
 
 def throughput(samples: DataFrame, group: str, size: str, millis: str) -> DataFrame:

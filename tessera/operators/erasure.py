@@ -101,7 +101,7 @@ def decode_column(shards: Column, length: Column, k: int, m: int) -> Column:
     def run(rows: pd.Series, lengths: pd.Series) -> pd.Series:
         return pd.Series([decode([None if s is None else bytes(s) for s in r], k, m, int(n)) if r is not None else None for r, n in zip(rows, lengths)])
 
-    whole = ~F.exists(F.slice(shards, 1, k), lambda s: s.isNull())
+    whole = F.coalesce(~F.exists(F.slice(shards, 1, k), lambda s: s.isNull()), F.lit(True))
     native = F.substring(F.aggregate(F.slice(shards, 1, k), F.lit(b"").cast("binary"), lambda a, s: F.concat(a, s)), F.lit(1), length.cast("int"))
     return F.when(whole, native).otherwise(run(F.when(~whole, shards), length))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import joined
+
 
 def winners(parts: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("upload_id", "part_number").orderBy(F.col("seq").desc()))
@@ -20,11 +22,16 @@ def stitched(parts: DataFrame) -> DataFrame:
 
 def complete(parts: DataFrame) -> DataFrame:
     """upload_id, part_count, size, etag, body: an upload's parts are bounded by the object's size."""
-    etag = F.sha2("body", 256)
-    rows = winners(parts).groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("part_number", etag.alias("etag"), "body"))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda x: x.etag), "")
-    return rows.select(
-        "upload_id", F.size("p").cast("long").alias("part_count"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x.body)).alias("size"),
-        F.concat(F.lit("mp-"), F.substring(joined, 1, 16), F.lit("-"), F.size("p").cast("string")).alias("etag"),
-        F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x.body)).alias("body"),
-    )
+    first = F.substring(F.sha2(F.min_by("body", "part_number"), 256), 1, 16)
+    rows = winners(parts).groupBy("upload_id").agg(F.count(F.lit(1)).alias("part_count"), F.sum(F.length("body")).cast("long").alias("size"), first.alias("head"), joined("body", "part_number").alias("body"))
+    return rows.select("upload_id", "part_count", "size", F.concat(F.lit("mp-"), "head", F.lit("-"), F.col("part_count").cast("string")).alias("etag"), "body")
+
+
+def answer(requests: DataFrame, sessions: DataFrame, parts: DataFrame) -> DataFrame:
+    """``requests`` (upload_id, action: complete or abort) with a status: 404 for unknown uploads, 409 to complete one
+    without parts, 204 for an abort (its parts stay stored), else 200."""
+    staged = parts.groupBy("upload_id").agg(F.countDistinct("part_number").alias("part_count"))
+    known = requests.join(sessions.select("upload_id", F.lit(True).alias("open")).distinct(), "upload_id", "left").join(staged, "upload_id", "left")
+    count = F.coalesce("part_count", F.lit(0)).cast("long")
+    status = F.when(F.col("open").isNull(), 404).when(F.col("action") == "abort", 204).when(count == 0, 409).otherwise(200)
+    return known.select("upload_id", "action", status.cast("long").alias("status"), count.alias("part_count"))

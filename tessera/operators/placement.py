@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bytes import score_digits
+from ..functions.bytes import rendezvous_score, score_digits
 
 #: Nodes are a dimension; a broadcast of more rows than this is refused and the join shuffles instead.
 MAX_NODES = 100_000
+#: Bits of a node's place beside the 48 of a score.
+ORDINAL_BITS = 15
 
 
 def small(df: DataFrame, rows: int = MAX_NODES) -> DataFrame:
@@ -19,11 +21,17 @@ def small(df: DataFrame, rows: int = MAX_NODES) -> DataFrame:
 def place(keys: DataFrame, nodes: DataFrame, n: int, key: str = "key", excluded: DataFrame | None = None) -> DataFrame:
     """The ``n`` targets of each key: rack leaders by score, then the others by score; ties by node id.
 
-    Keys are spread first, so the scored rows, a node for each key, never cross the network: both rankings use the
-    keys' partitioning.  Scores are ranked as the hex digits they come from and become numbers for the chosen rows
-    alone.  ``excluded`` (key, node_id) rows, a key's own few nodes, travel with the key and are left out unscored.
+    The work is keys x nodes, by definition; keys are spread first, so the scored rows never cross the network.  Up to
+    2^15 nodes a score (48 bits) and its node's place (15 bits) are one long, and hash aggregates find the leaders
+    without a sort; with more nodes both rankings are windows over the keys' partitioning, by the hex digits that the
+    scores come from.  ``excluded`` (key, node_id) rows, a key's own few nodes, travel with the key and are left out
+    unscored.
     """
-    alive = small(nodes.filter(F.col("status") == "ALIVE").select("node_id", "rack"))
+    alive = nodes.filter(F.col("status") == "ALIVE").select("node_id", "rack")
+    known = alive.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("rack").alias("racks")).first()
+    if known["nodes"] < 1 << ORDINAL_BITS:
+        return _place_packed(keys, alive, n, key, excluded, known["racks"])
+    alive = F.broadcast(alive) if known["nodes"] <= MAX_NODES else alive
     own = keys.select(key)
     if excluded is not None:
         own = own.join(excluded.groupBy(key).agg(F.collect_set("node_id").alias("__gone")), key, "left")
@@ -38,6 +46,33 @@ def place(keys: DataFrame, nodes: DataFrame, n: int, key: str = "key", excluded:
     return chosen.select(key, "pos", "node_id", "rack", F.conv("__digits", 16, 10).cast("long").alias("score"))
 
 
+def _place_packed(keys: DataFrame, alive: DataFrame, n: int, key: str, excluded: DataFrame | None, racks: int) -> DataFrame:
+    """``place`` by hash aggregates; of equal scores the smaller node id has the larger number."""
+    mask = (1 << ORDINAL_BITS) - 1
+    places = F.broadcast(alive.withColumn("__at", mask - F.row_number().over(Window.orderBy("node_id"))))
+    own = keys.select(key)
+    if excluded is not None:
+        own = own.join(excluded.groupBy(key).agg(F.collect_set("node_id").alias("__gone")), key, "left")
+    pairs = own.repartition(key).crossJoin(places)
+    if excluded is not None:
+        pairs = pairs.filter(~F.coalesce(F.array_contains("__gone", F.col("node_id")), F.lit(False)))
+    packed = F.shiftleft(rendezvous_score(F.col(key), F.col("node_id")), ORDINAL_BITS).bitwiseOR(F.col("__at"))
+    scored = pairs.select(key, "rack", packed.alias("__packed"))
+    if n == 1:
+        best = scored.groupBy(key).agg(F.max("__packed").alias("__packed")).withColumn("pos", F.lit(1).cast("long"))
+    else:
+        # racks without any of a key's nodes left lead no one: then others come up, as with more targets than racks
+        more = n > racks or excluded is not None
+        top = [F.slice(F.sort_array(F.collect_list("__packed"), asc=False), 2, n).alias("__rest")] if more else []
+        led = scored.groupBy(key, "rack").agg(F.max("__packed").alias("__lead"), *top)
+        lists = [F.sort_array(F.collect_list("__lead"), asc=False).alias("__leads")] + [F.sort_array(F.flatten(F.collect_list("__rest")), asc=False).alias("__rest")] * more
+        chosen = led.groupBy(key).agg(*lists)
+        chosen = chosen.select(key, F.posexplode(F.slice(F.concat("__leads", "__rest") if more else F.col("__leads"), 1, n)).alias("__i", "__packed"))
+        best = chosen.select(key, "__packed", (F.col("__i") + 1).cast("long").alias("pos"))
+    named = best.withColumn("__at", F.col("__packed").bitwiseAND(F.lit(mask).cast("long")).cast("int")).join(places, "__at")
+    return named.select(key, "pos", "node_id", "rack", F.shiftright("__packed", ORDINAL_BITS).alias("score"))
+
+
 def surrogate(keys: DataFrame, nodes: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
     """The one node a hint goes to: placement without any of the targets."""
     return place(keys, nodes, 1, key, excluded=targets)

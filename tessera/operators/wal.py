@@ -68,6 +68,41 @@ def recover(snapshot: DataFrame, snapshot_seq: int, log: DataFrame) -> DataFrame
     return fold(snapshot.select(later.columns).unionByName(later))
 
 
+def buckets(entries: DataFrame, default: str | None = None) -> DataFrame:
+    """Buckets after a log's CREATE_BUCKET entries (bucket, seq): the first creation counts, ``default`` always exists."""
+    made = entries.filter(F.col("action") == "CREATE_BUCKET").groupBy(F.col("bucket").alias("name")).agg(F.min("seq").alias("created_seq"))
+    if default is None:
+        return made
+    base = entries.sparkSession.createDataFrame([(default,)], "name string")
+    return base.join(made.filter(F.col("name") == default), "name", "left").unionByName(made.filter(F.col("name") != default))
+
+
+MOVE = "chunkId string, oldNodeId long, newNodeId long, shardIndex long"
+
+
+def placement_moves(entries: DataFrame) -> DataFrame:
+    """Moves of UPDATE_CHUNK_PLACEMENT entries (seq, action, data as JSON); shard_index is null for replicas."""
+    move = F.from_json("data", MOVE)
+    rows = entries.filter(F.col("action") == "UPDATE_CHUNK_PLACEMENT").select("seq", move.alias("m"))
+    return rows.select(F.col("m.chunkId").alias("chunk_id"), "seq", F.col("m.oldNodeId").alias("old_node"), F.col("m.newNodeId").alias("new_node"), F.col("m.shardIndex").alias("shard_index"))
+
+
+def move_shards(objects: DataFrame, moves: DataFrame) -> DataFrame:
+    """``objects`` (chunk_id, shards: array of shard_index, node_id) with each move's shard on its new node, by seq.
+
+    A move names the old node, and the shard's index or null for any; one that fits no shard changes nothing.
+    """
+    steps = moves.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("seq", "old_node", "new_node", "shard_index"))).alias("steps"))
+    one = lambda s, x: F.when((x.node_id == s.old_node) & F.coalesce(x.shard_index == s.shard_index, F.lit(True)), F.struct(x.shard_index.alias("shard_index"), s.new_node.alias("node_id"))).otherwise(x)
+    moved = F.aggregate("steps", F.col("shards"), lambda acc, s: F.transform(acc, lambda x: one(s, x)))
+    return objects.join(steps, "chunk_id", "left").select("chunk_id", F.when(F.col("steps").isNull(), F.col("shards")).otherwise(moved).alias("shards"))
+
+
+def truncated(entries: DataFrame, snapshot_seq: int) -> DataFrame:
+    """What stays of a log once a snapshot holds everything up to ``snapshot_seq``."""
+    return entries.filter(F.col("seq") > snapshot_seq)
+
+
 def move_replicas(objects: DataFrame, moves: DataFrame) -> DataFrame:
     """Placement updates: ``objects`` (chunk_id, replica_nodes) with each move's old node replaced, in order of seq.
 

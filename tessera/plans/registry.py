@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytes as fb
 from ..operators import antientropy, catalog, chunking, cluster, erasure, healing, integrity, multipart, placement, quorum, wal
 from ..sources import testbed as T
+from ..sources.shared import scratch
 from ..streaming import detector
 
 CHUNK = 1024
@@ -53,11 +50,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared"
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 # objects and chunks
 
 
@@ -267,12 +259,16 @@ def cluster_badge(spark, sf_dir):
 
 @query(f"""WITH {NODES}, {REPLICAS}, {VERSIONS}, {LATEST} SELECT 'nodes' AS item, count(*)::BIGINT AS n FROM nodes UNION ALL SELECT 'alive', count(*) FROM nodes WHERE status = 'ALIVE'
 UNION ALL SELECT 'objects', count(*) FROM latest WHERE NOT is_deleted UNION ALL SELECT 'buckets', count(DISTINCT bucket) FROM versions
-UNION ALL SELECT 'replicas', count(*) FROM replicas UNION ALL SELECT 'bytes', sum(size)::BIGINT FROM replicas""")
+UNION ALL SELECT 'replicas', count(*) FROM replicas UNION ALL SELECT 'bytes', sum(size)::BIGINT FROM replicas UNION ALL SELECT 'hints', count(*) FROM replicas WHERE outcome = 'R'
+UNION ALL SELECT 'flags', count(*) FROM replicas WHERE outcome = 'R' AND ordinal = 1 UNION ALL SELECT 'severed', 2 * (SELECT count(*) FROM nodes WHERE rack = 0) * (SELECT count(*) FROM nodes WHERE rack = 1)
+UNION ALL SELECT 'queued', count(*) FROM (SELECT chunk_id FROM replicas r LEFT JOIN nodes n USING (node_id) GROUP BY 1 HAVING count_if(coalesce(n.status, 'DEAD') = 'ALIVE' AND NOT (r.outcome = 'R' AND r.ordinal = 1)) < 3)""")
 def cluster_status(spark, sf_dir):
     nodes, replicas, versions = T.nodes(spark, sf_dir), T.replicas(spark, sf_dir), T.versions(spark, sf_dir)
     one = lambda item, df, agg=F.count(F.lit(1)): df.agg(agg.cast("long").alias("n")).select(F.lit(item).alias("item"), "n")
     out = one("nodes", nodes)
-    for part in (one("alive", nodes.filter("status = 'ALIVE'")), one("objects", catalog.live(versions)), one("buckets", versions, F.count_distinct("bucket")), one("replicas", replicas), one("bytes", replicas, F.sum("size"))):
+    parts = [one("alive", nodes.filter("status = 'ALIVE'")), one("objects", catalog.live(versions)), one("buckets", versions, F.count_distinct("bucket")), one("replicas", replicas), one("bytes", replicas, F.sum("size"))]
+    parts += [one("hints", _hints(spark, sf_dir)), one("flags", replicas.filter("outcome = 'R' AND ordinal = 1")), one("severed", _links(spark, sf_dir)), one("queued", healing.replicated_plan(_health(spark, sf_dir)))]
+    for part in parts:
         out = out.unionByName(part)
     return out
 
@@ -321,7 +317,8 @@ def multipart_chunks(spark, sf_dir):
 def _stored(spark, sf_dir):
     """Envelopes of every chunk, some broken by the chunk's number: magic, header, cut, payload."""
     built = integrity.build(chunking.chunks(T.objects(spark, sf_dir), CHUNK))
-    n = F.crc32(F.col("chunk_id").cast("binary"))
+    part = lambda i: F.element_at(F.split("chunk_id", "-"), i).cast("long")
+    n = part(2) * 31 + part(3)
     kind, c, size = n % 97, F.col("content"), F.length("content")
     broken = (
         F.when(kind == 1, integrity.flip(c, F.lit(0))).when(kind == 2, integrity.flip(c, F.lit(12))).when(kind == 3, F.substring(c, F.lit(1), size - 1))
@@ -336,26 +333,25 @@ def envelope_roundtrip(spark, sf_dir):
     return back.select("chunk_id", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha"), "status")
 
 
-@query()
+#: The status each injected fault shows: of an empty payload the last byte is the header checksum's.
+STORED_SQL = f"""{CHUNKS}, numbered AS (SELECT chunk_id, payload, octet_length(payload) = 0 AS bare, (doc_id * 31 + idx) % 97 AS kind, (doc_id * 31 + idx) % 8 AS node_id FROM chunks),
+stored AS (SELECT chunk_id, node_id, CASE kind WHEN 1 THEN 'magic' WHEN 2 THEN 'header_crc' WHEN 3 THEN CASE WHEN bare THEN 'truncated' ELSE 'length' END WHEN 4 THEN CASE WHEN bare THEN 'header_crc' ELSE 'bitrot' END
+  WHEN 5 THEN 'short' ELSE 'ok' END AS status FROM numbered)"""
+
+
+@query(f"WITH {STORED_SQL} SELECT status, count(*) AS chunks FROM stored GROUP BY 1")
 def verify_statuses(spark, sf_dir):
     return integrity.verify(_stored(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+@query(f"WITH {STORED_SQL} SELECT node_id, count(*) AS total, count_if(status = 'ok')::BIGINT AS healthy, count_if(status <> 'ok')::BIGINT AS corrupted FROM stored GROUP BY 1")
 def scrub_report(spark, sf_dir):
-    stored = _stored(spark, sf_dir)
-    return integrity.scrub(integrity.verify(stored).join(stored.select("chunk_id", "node_id"), "chunk_id"))
+    return integrity.scrub(integrity.verify(_stored(spark, sf_dir)))
 
 
 # erasure
 
 
-@query()
-def ec_encode(spark, sf_dir):
-    shards = T.objects(spark, sf_dir).select("doc_id", F.posexplode(erasure.encode_column(F.col("body"), 4, 2)).alias("shard_index", "shard"))
-    return erasure.inspect(shards, 4).select("doc_id", "shard_index", "role", F.length("shard").alias("size"), F.sha2("shard", 256).alias("checksum_hex"))
-
-
 def _degraded(spark, sf_dir):
     o = T.objects(spark, sf_dir).select("doc_id", F.length("body").alias("size"), erasure.encode_column(F.col("body"), 4, 2).alias("s"))
     return o.select("doc_id", "size", F.when(F.col("doc_id") % 3 == 0, erasure.lose(F.col("s"), [0, 1])).when(F.col("doc_id") % 3 == 1, erasure.lose(F.col("s"), [1, 4])).otherwise(F.col("s")).alias("s"))
@@ -396,14 +392,41 @@ def merkle_leaves(spark, sf_dir):
     return antientropy.leaves(_items(spark, sf_dir))
 
 
-@query()
+LEVELS = 6
+
+
+def _folded(deepest: int, first: str, hashed: str) -> str:
+    """SQL tables h<deepest> to h0: ``first``, then pairs hashed level by level."""
+    steps = [f"h{deepest} AS ({first})"]
+    for d in range(deepest - 1, -1, -1):
+        steps.append(f"h{d} AS ({hashed.format(d=d, up=d + 1)})")
+    return ", ".join(steps)
+
+
+_LEAVES = f"{_ITEMS}, leaves AS (SELECT node_id, key, sha256(key || ':' || version || ':' || hash) AS leaf FROM items)"
+#: Segments of the midpoint tree by depth and place; a segment of one item is its leaf, others hash their halves.
+_DEPTH = 16
+_SEGMENTS = f"""counted AS (SELECT node_id, count(*)::BIGINT AS n FROM leaves GROUP BY 1), placed AS (SELECT node_id, leaf, row_number() OVER (PARTITION BY node_id ORDER BY key) - 1 AS at FROM leaves),
+seg AS (SELECT node_id, 0 AS depth, 0::BIGINT AS i, 0::BIGINT AS lo, n AS hi FROM counted UNION ALL
+  SELECT node_id, depth + 1, i * 2 + side, CASE side WHEN 0 THEN lo ELSE lo + (hi - lo) // 2 END, CASE side WHEN 0 THEN lo + (hi - lo) // 2 ELSE hi END FROM seg, (SELECT unnest([0, 1])::BIGINT AS side) WHERE hi - lo > 1 AND depth < {_DEPTH}),
+own AS (SELECT s.node_id, depth, i, leaf AS h FROM seg s JOIN placed p ON p.node_id = s.node_id AND p.at = s.lo WHERE s.hi - s.lo = 1)"""
+_ROOT = _folded(_DEPTH, f"SELECT node_id, i, h FROM own WHERE depth = {_DEPTH}", "SELECT node_id, i, h FROM own WHERE depth = {d} UNION ALL SELECT node_id, i // 2, sha256(min(h) FILTER (i % 2 = 0) || ':' || min(h) FILTER (i % 2 = 1)) FROM h{up} GROUP BY 1, 2")
+
+
+@query(f"WITH RECURSIVE {_LEAVES}, {_SEGMENTS}, {_ROOT} SELECT node_id, n AS items, h AS root FROM h0 JOIN counted USING (node_id)")
 def merkle_root(spark, sf_dir):
     return antientropy.roots(_items(spark, sf_dir))
 
 
-@query()
+_BUCKETS = _folded(
+    LEVELS, f"SELECT node_id, ('0x' || substr(leaf, 1, 4))::BIGINT % {1 << LEVELS} AS i, sha256(string_agg(leaf, '' ORDER BY leaf)) AS h FROM leaves GROUP BY 1, 2",
+    f"SELECT node_id, i // 2 AS i, sha256(coalesce(min(h) FILTER (i % 2 = 0), '{antientropy.EMPTY_ROOT}') || ':' || coalesce(min(h) FILTER (i % 2 = 1), '{antientropy.EMPTY_ROOT}')) AS h FROM h{{up}} GROUP BY 1, 2",
+)
+
+
+@query(f"WITH {_LEAVES}, {_BUCKETS} SELECT node_id, h AS root FROM h0")
 def merkle_bucket_root(spark, sf_dir):
-    return antientropy.bucket_roots(_items(spark, sf_dir))
+    return antientropy.bucket_roots(_items(spark, sf_dir), LEVELS)
 
 
 @query(f"WITH {NODES}, {_RING} SELECT * FROM ring")
@@ -494,8 +517,7 @@ def wal_frames(spark, sf_dir):
     ts = F.unix_millis("ts")
     body = F.to_json(F.struct(F.col("event_id").alias("seq"), ts.alias("ts"), "action", F.struct(F.floor(F.col("value") * 100).alias("value")).alias("data"))).cast("binary")
     frames = T.heartbeats(spark, sf_dir).select("node_id", "event_id", wal.frame(body).alias("frame"))
-    logs = frames.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f"))
-    return wal.entries(logs.select(F.col("node_id").alias("log"), F.aggregate("f", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x.frame)).alias("content")))
+    return wal.entries(frames.groupBy(F.col("node_id").alias("log")).agg(chunking.joined("frame", "event_id").alias("content")))
 
 
 _LOG = f"{VERSIONS}, log AS (SELECT bucket, key, seq, CASE WHEN is_deleted THEN 'DELETE_OBJECT' ELSE 'PUT_OBJECT' END AS action, version_id, size FROM versions)"

@@ -42,12 +42,8 @@ def head_chunks(spark: SparkSession, root: str, magic: bytes = integrity.MAGIC)
 
 def merkle_items(spark: SparkSession, root: str, node_id: int, magic: bytes = integrity.MAGIC) -> DataFrame:
     """Merkle items of a node's readable chunks; the hash is the one their metadata states."""
-    c = F.col("content")
-    meta = F.from_json(F.substring(c, F.lit(11), F.conv(F.hex(F.substring(c, 9, 2)), 16, 10).cast("int")).cast("string"), integrity.META)
-    files = chunk_files(spark, root).select("chunk_id", "content")
-    good = integrity.verify(files, False, magic).filter("status = 'ok'").select("chunk_id")
-    stated = files.select("chunk_id", meta["checksumHex"].alias("hash"))
-    return good.join(stated, "chunk_id").select(F.lit(node_id).cast("long").alias("node_id"), F.col("chunk_id").alias("key"), F.lit("v1").alias("version"), "hash")
+    good = integrity.verify(chunk_files(spark, root).select("chunk_id", "content"), False, magic).filter("status = 'ok'")
+    return good.select(F.lit(node_id).cast("long").alias("node_id"), F.col("chunk_id").alias("key"), F.lit("v1").alias("version"), F.col("stated_hash").alias("hash"))
 
 
 def write_chunks(envelopes: DataFrame, path: str, mode: str = "append") -> None:
@@ -73,6 +69,20 @@ def hint_body(target: Column, chunk: Column, payload: Column, ts: Column) -> Col
     return F.to_json(F.struct(target.alias("targetNodeId"), chunk.alias("chunkId"), F.base64(payload).alias("payloadBase64"), ts.alias("timestamp")))
 
 
+def write_hints(hints: DataFrame, path: str) -> None:
+    """Append hints (target_id, chunk_id, payload, ts) as a table of JSON bodies, one atomic commit."""
+    target, chunk = F.col("target_id").cast("string"), F.col("chunk_id").cast("string")
+    hints.select("target_id", hint_body(target, chunk, F.col("payload"), F.col("ts")).alias("body")).write.mode("append").parquet(path)
+
+
+def read_hints(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """Hints of such a table, of one target if named: target_id, chunk_id, payload, ts."""
+    rows = spark.read.parquet(path)
+    rows = rows if target is None else rows.filter(F.col("target_id").cast("string") == target)
+    hint = F.from_json("body", HINT)
+    return rows.select("target_id", hint["chunkId"].alias("chunk_id"), F.unbase64(hint["payloadBase64"]).alias("payload"), hint["timestamp"].alias("ts"))
+
+
 def log_files(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
     """Entries of write-ahead log files, each up to its first broken frame."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
@@ -85,7 +95,8 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 def write_snapshot(state: DataFrame, path: str) -> None:
     """Put entries of the live state; a later recovery takes the log from the largest seq on."""
-    state.write.mode("overwrite").parquet(path)
+    fields = [f.split() for f in SNAPSHOT.split(", ")]
+    state.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields]).write.mode("overwrite").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:

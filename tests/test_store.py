@@ -6,8 +6,10 @@ import zlib
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tessera.operators import integrity, wal
-from tessera.sources import store
+from tessera.sources import shared, store
 
 
 def test_chunk_files(spark, tmp_path):
@@ -58,3 +60,19 @@ def test_log_and_snapshot(spark, tmp_path):
     store.append_log(log, str(tmp_path / "table"))
     store.append_log(log, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 6
+
+
+class Settings:
+    def __init__(self, **conf):
+        self.conf = self
+        self.settings = conf
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_shared_folder():
+    assert shared.shared_dir(Settings(**{"spark.master": "local[8]"})).startswith("file://")
+    assert shared.scratch(Settings(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y/"}), "a").startswith("hdfs://x/y/tessera/a-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Settings(**{"spark.master": "spark://host:7077"}))
