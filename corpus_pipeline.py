@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as
 the next stage's documents, so a lost executor costs at most a stage.  All but the last return the columns of
 documents.
+
+Defined cases, of every stage: null texts count as empty (they score as texts without hits, are copies of each other,
+have fingerprint zero, hold no words and so take no part in the mix); null sources are one source; null ids pass
+through, and lose against any id where one row of a group stays; of repeated rows one stays from exact dedup on; other
+columns, whatever their names, ride along up to packing; long texts are handled whole; an empty table gives an empty
+table; without labels nothing is rejected.
 """
 
 from __future__ import annotations
