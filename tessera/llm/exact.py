@@ -5,8 +5,12 @@ externally by the whole normalised text, and neighbours are compared in full by
 group wherever two adjacent sort keys differ.  Splitters are short, so sampling stays small whatever the texts' size.
 
 Hot groups: texts holding more than 1/(8 n) of the rows over n partitions would fill one task.  There are fewer than
-8 n of them; their hashes are broadcast (8 bytes each), and their rows are pre-aggregated before the shuffle instead
-of sorted, then joined to the totals under AQE's skew split.  The route never changes the result.
+8 n of them; the driver holds their hashes (8 bytes each), and their rows are sorted in the same way, but by (hash, salt,
+text), salts dealt row by row: each salted run is compared neighbour by neighbour, its best id and size meet those of
+the text's other runs (at most n rows a text), and go back to the run.  The route never changes the result.
+
+Memory: sorting is external and a window holds one group's rows, spilling beyond; long texts are compared whole and
+never gathered.
 
 Defined cases: null text counts as empty; empty texts form one group; null ids lose against any id, and a group of
 null ids keeps one row with a null ``keep_id``; of rows that tie in text and id exactly one is kept; other columns,
@@ -36,14 +40,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(F.lower(text)).alias("h"))
 
     total = docs.count()
-    sizes = rows.groupBy("h").count()
-    hot = F.broadcast(sizes.filter(F.col("count") * F.lit(8 * n) > F.lit(max(total, 64 * n))).select("h", F.lit(True).alias("hot")))
-    tagged = rows.join(hot, "h", "left")
+    often = rows.groupBy("h").count().filter(F.col("count") * F.lit(8 * n) > F.lit(max(total, 64 * n)))
+    hot = [r.h for r in often.select("h").collect()]
     norm = ascii_lower(text)
 
     same = Window.partitionBy("k", "h", "norm")
     cold = (
-        tagged.filter(F.col("hot").isNull())
+        rows.filter(~F.col("h").isin(hot))
         .select("row", "id", "h", F.substring(F.lower(text), 1, PREFIX).alias("k"))
         .repartitionByRange("k", "h")
         .withColumn("norm", norm)
@@ -53,17 +56,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("row", "keep_id", "group_size", (F.col("at") == 1).alias("kept"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     )
 
-    warm = tagged.filter(F.col("hot")).select("row", "id", norm.alias("norm"))
-    totals = warm.groupBy("norm").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    totals = totals.select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    tie = Window.partitionBy("text_sha256", "id").orderBy(F.lit(1))
+    if not hot:
+        return cold
+    run = Window.partitionBy("h", "salt", "norm")
     warm = (
-        warm.select("row", "id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-        .withColumn("at", F.row_number().over(tie))
-        .join(totals, "text_sha256")
-        .select("row", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("at") == 1)).alias("kept"), "text_sha256")
+        rows.filter(F.col("h").isin(hot))
+        .select("row", "id", "h", F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("salt"), norm.alias("norm"))
+        .withColumn("at", F.row_number().over(run.orderBy(first)))
+        .withColumn("run_id", best("id").over(run))
+        .withColumn("run_size", F.count(F.lit(1)).over(run))
+    )
+    runs = warm.filter("at = 1").select("h", "salt", "norm", "run_id", "run_size")
+    # the run that keeps its first row: that of the best id, the lowest salt of equal ones
+    order = F.min(F.struct(F.col("run_id").isNull(), "run_id", "salt")) if keep == "smallest" else F.max(F.struct("run_id", -F.col("salt")))
+    totals = runs.groupBy("h", "norm").agg(best("run_id").alias("keep_id"), F.sum("run_size").alias("group_size"), F.abs(order.getField("salt" if keep == "smallest" else "col2")).alias("winner"))
+    named = runs.select("h", "salt", "norm").join(totals, ["h", "norm"])
+    return cold.unionByName(
+        warm.join(named, ["h", "salt", "norm"])
+        .select("row", "keep_id", "group_size", ((F.col("salt") == F.col("winner")) & (F.col("at") == 1)).alias("kept"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     )
-    return cold.unionByName(warm)
 
 
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
