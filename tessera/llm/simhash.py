@@ -5,6 +5,9 @@ that differ in at most 3 bits, cut into only two 32-bit segments, differ by at m
 own a variant of that segment with the same bit wildcarded.  Each distinct fingerprint is indexed under its
 2 x 32 one-wildcard variants, equal keys meet, and the whole distance is verified.
 
+Keys are read as sorted streams.  A key of more than ``BLOCK`` members is dealt out anew by the bytes of the other
+segment: 3 differing bits leave one of its 4 bytes equal, so no link is lost and no task holds more than such a part.
+
 Within a key no pairs are spelled out: a breadth-first search over the members' distances gives a spanning forest of
 their links, so a key of m members yields at most m - 1 rows.  The search costs m vector operations, or, for keys of
 many members, looks up each member's 6,017 possible neighbours (they share 31 bits) in the sorted list: linear in m.
@@ -12,7 +15,8 @@ Copies collapse to one fingerprint beforehand.  Components come from distributed
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero, linked like any other; texts of
 fewer words than a shingle hash their whole word sequence; repeated rows and ties share one fingerprint; null ids
-never become a component's id unless it has no other; other columns are ignored; an empty table gives no rows.
+never become a component's id unless it has no other; other columns are ignored; an empty table gives no rows; long
+texts are hashed whole, in one task's memory.
 ``kept_rows`` keeps one row of each component, also where rows repeat or no row has an id, with all its columns.
 """
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 from .components import components, smallest_of_component
 
-BITS, MANY = 3, 4096
+BITS, MANY, BLOCK = 3, 4096, 1 << 18
 PRINTS = "doc_id long, fp long, text_hash long"
 
 
@@ -110,38 +114,74 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64) if x else [], pa.int64())
 
 
-def _meet(bits: int):
+LINKS = "a long, b long, key long"
+
+
+def _shared(key: int, part: bool) -> np.uint64:
+    """The bits that a key's members agree on; ``part``: keys of parts end in the number and the value of a byte."""
+    mask = 0
+    if part:
+        key, byte = key >> 10, key >> 8 & 3
+        mask = 0xFF << (8 * byte + (0 if key >> 37 else 32))
+    segment, bit = divmod(key >> 32, 32)
+    return np.uint64(mask | (0xFFFFFFFF & ~(1 << bit)) << (32 * segment))
+
+
+def _parts(key: int, fps: np.ndarray) -> pa.RecordBatch:
+    """A key's members by each byte of the segment that the key doesn't fix: (fp, null, key of the part)."""
+    other = (fps >> np.uint64(0 if key >> 37 else 32)) & np.uint64(0xFFFFFFFF)
+    keys = [np.int64(key) << 10 | b << 8 | ((other >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64) for b in range(4)]
+    none = pa.nulls(4 * len(fps), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.tile(fps.view(np.int64), 4)), none, pa.array(np.concatenate(keys))], ["a", "b", "key"])
+
+
+def _meet(bits: int, part: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by key; a key's members may span batches."""
-        key, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []  # members of the last key so far
+        last, size, large = None, 0, False
 
-        def solve(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+        def solve(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(key) < 2:
-                return None
+                return
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[edge, len(key)])
-            two = edge[size == 2]
+            count = np.diff(np.r_[edge, len(key)])
+            two = edge[count == 2]
             near = two[_popcount(fps[two] ^ fps[two + 1]) <= bits]
             a, b = fps[near].tolist(), fps[near + 1].tolist()
-            for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                segment, bit = divmod(int(key[at]) >> 32, 32)
-                shared = np.uint64((0xFFFFFFFF & ~(1 << bit)) << (32 * segment))
-                for x, y in forest(fps[at: at + n], shared, bits):
+            for at, n in zip(edge[count > 2].tolist(), count[count > 2].tolist()):
+                for x, y in forest(fps[at: at + n], _shared(int(key[at]), part), bits):
                     a.append(x)
                     b.append(y)
-            return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"]) if a else None
+            if a:
+                yield pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held and not large:
+                fps = np.concatenate(held)
+                yield from solve(np.full(len(fps), last), fps)
 
         for batch in batches:
-            key = np.r_[key, batch.column("key").to_numpy()]
-            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
+            key, fps = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
             if not len(key):
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut and (out := solve(key[:cut], fps[:cut])) is not None:
-                yield out
-            key, fps = key[cut:], fps[cut:]
-        if (out := solve(key, fps)) is not None:
-            yield out
+            begin = int(np.searchsorted(key, last, side="right")) if last is not None else 0
+            if begin:
+                if large:
+                    yield _parts(last, fps[:begin])
+                else:
+                    held.append(fps[:begin])
+                    size += begin
+            if begin < len(key):
+                yield from close()
+                end = int(np.searchsorted(key, key[-1]))
+                yield from solve(key[begin:end], fps[begin:end])
+                last, held, size, large = int(key[-1]), [fps[max(begin, end):]], len(key) - max(begin, end), False
+            if size > BLOCK and not part and not large:
+                for x in held:
+                    yield _parts(last, x)
+                held, large = [], True
+        yield from close()
 
     return run
 
@@ -154,7 +194,10 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     rows = fps.select("fp", variant)
     segment = F.expr("CASE WHEN v < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END")
     rows = rows.select("fp", F.expr("shiftleft(CAST(v AS BIGINT), 32)").bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, v % 32)"))).alias("key"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(bits), "a long, b long").distinct()
+    met = lambda keyed, part: keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(bits, part), LINKS)
+    links = materialize(met(rows, False), "print-links")
+    large = links.filter("key IS NOT NULL").select(F.col("a").alias("fp"), "key")
+    return links.filter("key IS NULL").unionByName(met(large, True)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
