@@ -12,8 +12,10 @@ Targets: sources in code-point order, null last, take the weights in turn; targe
 weight, none above ``cap`` times its source, the excess reshared by weight.  The table of sources is the one thing the
 driver holds: a source has a weight of its own, so it is bounded by the mix's configuration (``MAX_SOURCES``).
 
-Skew: offsets inside a source are summed over ``BUCKETS`` hashed buckets, so a source with a third of all rows has no
-task of its own; blocks and slots are at most ``cap`` rows to a key.
+Skew: offsets inside a source are summed over hashed buckets of about ``BUCKET_ROWS`` rows, as many as the rows need,
+so a source with a third of all rows has no task of its own; blocks and slots are at most ``cap`` rows to a key; copies
+of a row share one carrier of their columns and are joined to it, never gathered.  A long text is cut word by word in
+one task's memory.
 
 Defined cases: null text has no words; null sources form one source, last in order; null ids pass through; repeated
 rows are documents of their own; documents without words take none; other columns ride along in ``mixed_rows``; an
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table, text_or_empty, word_count
 
-BLOCK, BUCKETS, SHARD_SLOTS, MAX_SOURCES = 256, 256, 4096, 1_000_000
+BLOCK, BUCKETS, BUCKET_ROWS, SHARD_SLOTS, MAX_SOURCES = 256, 256, 1 << 16, 4096, 1_000_000
 SLOTS = "shard long, slot long, sid int, epoch int, block long, take long"
 
 
@@ -227,9 +229,10 @@ class Mix:
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
         sized = named.select("doc_id", "source", *document_keys(), word_count().cast("long").alias("size"))
         sized = materialize(sized.withColumn("row_key", F.monotonically_increasing_id()), "mix-sizes")
-        per = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+        per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
         if len(per) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
+        buckets = max(BUCKETS, -(-sum(r["rows"] for r in per) // BUCKET_ROWS))
         per = sorted(((r.source, r.size) for r in per), key=lambda x: (x[0] is None, x[0] or ""))
         sizes = [s for _, s in per]
         goals = targets(sizes, weights, share, cap)
@@ -244,7 +247,7 @@ class Mix:
         self.slots = spark.range(0, shards, 1, min(shards, max(8, partitions(spark)))).mapInArrow(make, SLOTS).hint("merge")
 
         # words before each document in its source: by hashed bucket, then inside the bucket
-        dealt = self.documents.withColumn("bucket", F.pmod("k1", F.lit(BUCKETS)).cast("int"))
+        dealt = self.documents.withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int"))
         base = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
         base = base.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
         inside = Window.partitionBy("sid", "bucket").orderBy("k1", "k2", "doc_id", "size", "row_key")
@@ -283,21 +286,17 @@ def _cutter(text_field: str, count_field: str | None):
         for batch in batches:
             row = batch.column("row")
             names = [f.name for f in row.type]
-            out, texts = [], []
-            for at in range(batch.num_rows):
-                text, words = row.field(text_field)[at].as_py() or "", None
-                for parts in batch.column("parts")[at].as_py():
-                    spans = sorted((p["lo"], p["hi"]) for p in parts["spans"])
-                    if sum(b - a for a, b in spans) == parts["size"]:
-                        texts.append(text)
-                    else:
-                        words = words if words is not None else text.encode().split()
-                        texts.append(b" ".join(w for a, b in spans for w in words[a:b]).decode())
-                    out.append(at)
-            picked = row.take(pa.array(out, pa.int64()))
+            texts = []
+            for at, size in enumerate(batch.column("size").to_pylist()):
+                text = row.field(text_field)[at].as_py() or ""
+                spans = sorted((p["lo"], p["hi"]) for p in batch.column("spans")[at].as_py())
+                if sum(b - a for a, b in spans) != size:
+                    words = text.encode().split()
+                    text = b" ".join(w for a, b in spans for w in words[a:b]).decode()
+                texts.append(text)
             cols = []
             for name, kind in zip(names, row.type):
-                col = picked.field(name)
+                col = row.field(name)
                 if name == text_field:
                     col = pa.array(texts, kind.type)
                 elif name == count_field:
@@ -312,10 +311,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, columns as in ``docs``: one row per document and epoch, its text the words taken."""
     mix = Mix(docs, **options)
     once = mix.spans.groupBy("k1", "k2", "row_key", "size", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    parts = once.groupBy("k1", "k2").agg(F.collect_list(F.struct("row_key", "epoch", "size", "spans")).alias("parts"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
-    rows = rows.select("row", *document_keys()).join(parts, ["k1", "k2"])
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))).filter("at = 1").select("row", "parts")
+    carriers = rows.select("row", *document_keys()).groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    rows = once.join(carriers, ["k1", "k2"]).select("row", "size", "spans")
     return rows.mapInArrow(_cutter("text", "n_chars" if "n_chars" in docs.columns else None), docs.schema)
 
 
