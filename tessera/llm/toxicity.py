@@ -15,7 +15,8 @@ called, the word ...) discount it as quotation; address (you, du, tu ...) and ot
 Inputs of a score are the text alone: not labels, lang, source or doc_id.
 
 Defined cases: null and empty texts are scored as texts without hits; labels that are null or whose document is
-missing teach nothing; labels other than 0 count as 1, repeated ones as their largest; without any labelled toxic
+missing teach nothing; labels other than 0 count as 1, repeated ones as their largest; rows that repeat an id teach as
+one, each row is scored; rows without id are scored and never held out; long texts are read whole, in one task's memory; without any labelled toxic
 sample the lexicon is empty and all scores are the prior, without any label ``UNLABELLED``, so nothing is rejected; ``scored`` keeps all input columns inside ``row``; an empty table gives
 no rows.
 """
@@ -23,6 +24,7 @@ no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, table, trim
 
-FOLDS, SAMPLE, MAX_TERMS, SUPPORT, WINDOW, ODDS = 5, 10_000, 2_000, 5, 8, 3.0
+FOLDS, SAMPLE, SUPPORT, WINDOW, ODDS = 5, 10_000, 5, 8, 3.0
 WORD = re.compile(r"\w+")
 QUOTE = re.compile("[\"“”„«»‹›]")
 #: Words of reporting and of address, in the corpus' languages.
@@ -162,13 +164,13 @@ def features(text: str, matcher: Matcher) -> list[float]:
             spans[i] = m.span()
     n, at = len(words), [i for i, _ in hits]
     kinds, quoted, abuse = [0.0] * 4, 0.0, 0.0
-    for k, (i, code) in enumerate(hits):
+    for i, code in hits:
         near = words[max(0, i - WINDOW): i] + words[i + 1: i + 1 + WINDOW]
         a, b = spans[i]
         reach = 6 * WINDOW
         marks = bool(QUOTE.search(low, max(0, a - reach), a)) and bool(QUOTE.search(low, b, b + reach))
         quotation = 0.5 * marks + 0.5 * any(w in REPORTING for w in near)
-        others = sum(1 for x in at[max(0, k - 3): k + 4] if x != i and abs(x - i) <= WINDOW)
+        others = bisect_right(at, i + WINDOW) - bisect_left(at, i - WINDOW) - 1
         pressure = min(2.0, 0.5 * others + 0.5 * any(w in ADDRESS for w in near))
         quoted += quotation
         abuse += pressure * (1 - quotation)
@@ -248,7 +250,7 @@ def choose(counts: dict[str, tuple[int, int, int, int]], pos: int) -> list[tuple
         if is_word or len(at) >= 4:
             entries.add((at, not is_word))
     entries |= {(w, False) for w in words if pure(w + " ") and not any((w[:k], True) in entries for k in range(3, len(w) + 1))}
-    return sorted(entries, key=lambda e: -counts[e[0] + ("" if e[1] else " ")][0])[:MAX_TERMS]
+    return sorted(entries, key=lambda e: -counts[e[0] + ("" if e[1] else " ")][0])
 
 
 def _featurer(entries: list[tuple[str, bool]]):
@@ -277,7 +279,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """Whether the fold of an id is held out; rows without id are in no fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[str, bool]], list[float]]:
@@ -286,7 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("toxic").cast("int") != 0).cast("int")).alias("toxic"))
     rows = known.select("id", "toxic", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample).select("id", "toxic")
     rows = F.broadcast(docs.sparkSession.createDataFrame(rows.collect(), "id long, toxic int"))
-    train = materialize(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(rows, "id").select("text", "toxic"), "toxicity-sample")
+    # rows that repeat an id teach once: the sample stays as small as it is meant to be
+    chosen = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(rows, "id")
+    train = materialize(chosen.groupBy("id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"), "toxicity-sample")
     counted = train.mapInArrow(_count, COUNTS).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pos_times", "neg_times")])
     y = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos = y.get(1, 0)
@@ -300,14 +305,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     return entries, w.tolist()
 
 
-def _scorer(entries: list[tuple[str, bool]], weights: list[float]):
+def _scorer(entries: list[tuple[str, bool]], weights: list[float], kept: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, w = Matcher(entries), np.array(weights)
         for batch in batches:
-            texts = batch.column("row").field("text").cast(pa.string())
+            texts = (batch.column("row").field("text") if kept == "row" else batch.column("text")).cast(pa.string())
             x = np.array([features(t.as_py() or "", matcher) for t in texts]).reshape(-1, FEATURES)
             score = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(kept), pa.array(score)], [kept, "score"])
         matcher.reset()
         trim()
 
@@ -318,7 +323,12 @@ def scored(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -
     """``row`` (struct of the input's columns) and score, for every row."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(*model), out)
+    return rows.mapInArrow(_scorer(*model, "row"), out)
+
+
+def scores(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -> DataFrame:
+    """doc_id and score of every row; texts don't come back from the workers."""
+    return docs.select("doc_id", "text").mapInArrow(_scorer(*model, "doc_id"), T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -328,6 +338,5 @@ def accepted_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    doc_id = F.col("row.doc_id")
-    return out.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
