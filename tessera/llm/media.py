@@ -12,7 +12,8 @@ DC-only scan the same total width - ours do, 12 bits a block - bit positions are
 is a vectorised table lookup; otherwise codes are followed one by one.
 
 Defined cases: null text counts as empty, an empty payload is 576 bytes of 255; repeated rows give equal values; other
-columns are ignored; an empty table gives no rows; broken bytes raise ValueError.
+columns are ignored; an empty table gives no rows; broken bytes raise ValueError.  Rows are handled one by one, without
+a shuffle, so no group of copies can heat a task; a long text is held whole, with a few numpy arrays of its size.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ open what it lists only.  A repeated task writes the same bytes under the same f
 
 Defined cases: null html is an empty payload; null urls leave the target out; null page ids sort last and are the
 response only if no other row has the payload; of rows equal in id and payload the first is response or revisit as
-its id tells, the others revisit it; other columns are ignored; an empty table gives no files and no rows.
+its id tells, the others revisit it; other columns, whatever their names, are ignored; an empty table gives no files
+and no rows.  A long page is one record, held whole in one task's memory and never split over files.  Rows equal in id
+stay in one shard, since their records are numbered.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +41,8 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def _filesystem(uri: str):
     from pyarrow import fs
 
+    # one slash after the scheme, as Hadoop writes local paths, means no authority
+    uri = re.sub(r"^([a-zA-Z][a-zA-Z0-9+.-]+):/(?!/)", r"\1:///", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 

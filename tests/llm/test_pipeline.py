@@ -56,3 +56,25 @@ def test_stages(spark):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_on_edge_and_empty_tables(spark, sf, edge, empty):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns: every stage keeps the schema and what it should."""
+    left = {}
+    for table in (edge, empty):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf).cache()
+            if name != "packing":
+                assert out.schema.simpleString() == table.schema.simpleString()
+                left[name, table is empty] = Counter(r.doc_id for r in out.collect())
+                docs = out
+            elif table is empty:
+                assert out.count() == 0
+    assert all(not c for (_, none), c in left.items() if none)
+    raw = Counter(r.doc_id for r in edge.collect())
+    assert left["toxicity", False] == raw
+    # 2 and its repeat are copies of 1; 3 (null) and 4 (empty) are equal; 9 differs from 6 by a word
+    assert left["exact_dedup", False] == Counter([1, 3, None, 5, 6, 7, 8, 9])
+    assert left["simhash_near_dedup", False] == Counter([1, 3, None, 6, 7, 8])
+    assert set(left["mixing", False]) <= {1, None, 6, 7, 8}

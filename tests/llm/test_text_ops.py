@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from tessera.llm import bpe, exact, media, packing, simhash, token_counts
+from tessera.llm.components import components, stars
 
 
 def texts(spark, sf):
@@ -273,3 +274,34 @@ def test_simhash_many_members(monkeypatch):
     monkeypatch.setattr(simhash, "MANY", 2)
     many = simhash.forest(low, np.uint64(0xFFFFFFFF << 32))
     assert len(few) == len(many) and all((a ^ b).bit_count() <= 3 for a, b in few + many)
+
+
+def test_stars_equal_union_find():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (30, 20), (400, 300), (400, 900)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        at = list(range(n))
+
+        def find(x):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = sorted((find(x), find(y)))
+            at[y] = x
+        node, root = stars(a, b)
+        assert dict(zip(node.tolist(), root.tolist())) == {x: find(x) for x in {*a.tolist(), *b.tolist()} if find(x) != x}
+    chain = np.arange(5000)
+    node, root = stars(chain[1:], chain[:-1])
+    assert len(node) == 4999 and not root.any()
+
+
+def test_components_in_parts(spark, monkeypatch):
+    """Star joins over parts' stars give the components that one part gives."""
+    rng = np.random.default_rng(4)
+    links = [(int(x), int(y)) for x, y in rng.integers(0, 300, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)]
+    df = spark.createDataFrame(links, "a long, b long")
+    whole = sorted(map(tuple, components(df).collect()))
+    monkeypatch.setattr("tessera.llm.components.LOCAL", 50)
+    assert sorted(map(tuple, components(df).collect())) == whole
