@@ -4,8 +4,9 @@ A partition's documents form one token stream, in the order they are read; each
 Candidate cuts are document ends (free), all sentence ends (a small penalty) and, where neither comes for a window's
 length, hard cuts.  A transition from cut i to cut j lays ceil(L/2048) windows over the L tokens between: all but the
 last are full and end in hard cuts, the last is padded.  With
-``g(i) = cost(i) + position(i)`` the best i for a given number of windows is a sliding-window minimum, kept in one
-monotone queue each, so a candidate costs O(1).  The stream's last stretch may also be laid out as sequences whose
+``g(i) = cost(i) + position(i)`` the best i for a given number of windows is a sliding-window minimum.  That of one window
+is kept in a monotone queue, so a candidate costs O(1); those of more lie before the block of candidates at hand and
+are read from a table of minima, a block at a time.  The stream's last stretch may also be laid out as sequences whose
 lengths are powers of two, which need no padding.
 
 There is no shuffle: the layout follows the scan's splits and is the same whenever those are.  Memory is bounded by
@@ -59,31 +60,31 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, final: bool, window: i
     else:
         pos, pen = [0, *at.tolist()], [0, *(0 if f else SENTENCE_CUT for f in free.tolist())]
 
-    m = len(pos)
-    cost, back = [0.0] * m, [0] * m
-    g = [0.0] * m
-    queues = [deque() for _ in range(QUEUES)]
-    entered = [0] * QUEUES
-    extra_cost = [(k + 1) * window + k * HARD_CUT for k in range(QUEUES)]
-    for j in range(1, m):
-        p, best, arg = pos[j], float("inf"), 0
-        for k in range(QUEUES):
-            q, i, near, far = queues[k], entered[k], p - window * k, p - window * (k + 1)
-            while i < j and pos[i] < near:
-                v = g[i]
-                while q and g[q[-1]] >= v:
-                    q.pop()
-                q.append(i)
-                i += 1
-            entered[k] = i
-            while q and pos[q[0]] < far:
-                q.popleft()
-            if q:
-                c = g[q[0]] + extra_cost[k] - p
-                if c < best:
-                    best, arg = c, q[0]
-        cost[j], back[j] = best + pen[j], arg
-        g[j] = cost[j] + p
+    where, m = np.array(pos), len(pos)
+    g = np.zeros(m)  # cost and position of each cut
+    ends_at = [0.0]
+    back = np.zeros(m, np.int64)  # the cut before, or -k where k full windows lie before the last: looked up on the path
+    queue: deque[int] = deque([0])
+    begin = 1
+    while begin < m:
+        # a block spans one window, so what lies a whole window or more before its cuts is settled
+        end = int(np.searchsorted(where, where[begin] + window, side="right"))
+        far, kind = _far(where, g, begin, end, window)
+        for j, p, c, k, more in zip(range(begin, end), pos[begin:end], far.tolist(), kind.tolist(), pen[begin:end]):
+            while queue and pos[queue[0]] < p - window:
+                queue.popleft()
+            best, arg = c - p, -k
+            if queue and (near := ends_at[queue[0]] + window - p) <= best:
+                best, arg = near, queue[0]
+            here = best + more + p
+            ends_at.append(here)
+            back[j] = arg
+            while queue and ends_at[queue[-1]] >= here:
+                queue.pop()
+            queue.append(j)
+        g[begin:end] = ends_at[begin:end]
+        begin = end
+    cost = g - where
 
     last_parts: list[int] | None = None
     if final:
@@ -97,7 +98,10 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, final: bool, window: i
     ends: list[int] = []
     j, tail = m - 1, last_parts
     while j:
-        i = back[j]
+        i = int(back[j])
+        if i < 0:
+            lo, hi = np.searchsorted(where, [pos[j] + (i - 1) * window, pos[j] + i * window])
+            i = int(lo + np.argmin(g[lo:hi]))
         if tail:
             run = [pos[i] + int(x) for x in np.cumsum(tail)]
         else:
@@ -109,6 +113,35 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, final: bool, window: i
     return [e for e in ends if e <= total - (QUEUES + 1) * window]
 
 
+def _far(where: np.ndarray, g: np.ndarray, begin: int, end: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the cuts of a block: the least of g(i) and the cost of k full windows and a last one, and that k of 1 and more.
+
+    The minima over the cuts from (k + 1) to k windows before come from a table of minima over 2^l cuts.
+    """
+    first = int(np.searchsorted(where, where[begin] - QUEUES * window))
+    tables = [g[first:begin]]
+    best, kind = np.full(end - begin, np.inf), np.ones(end - begin, np.int64)
+    for k in range(1, QUEUES):
+        lo, hi = (np.searchsorted(where, where[begin:end] - window * n) - first for n in (k + 1, k))
+        lo = np.maximum(lo, 0)
+        size = hi - lo
+        some = size > 0
+        if not some.any():
+            break
+        level = np.frexp(np.maximum(size, 1))[1] - 1
+        while len(tables) <= level.max():
+            last, step = tables[-1], 1 << len(tables) - 1
+            tables.append(np.minimum(last[:-step], last[step:]))
+        value = np.full(end - begin, np.inf)
+        for n in np.unique(level[some]).tolist():
+            at = np.flatnonzero(some & (level == n))
+            value[at] = np.minimum(tables[n][lo[at]], tables[n][hi[at] - (1 << n)])
+        value += (k + 1) * window + k * HARD_CUT
+        less = value < best
+        best[less], kind[less] = value[less], k
+    return best, kind
+
+
 def _packer(path: str, end_id: int, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
