@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -532,3 +534,66 @@ def test_simhash_splits_large_keys(spark, monkeypatch, seed):
 
     unsigned = lambda x: x & (1 << 64) - 1
     assert roots((unsigned(r["a"]), unsigned(r["b"])) for r in links) == roots((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3)
+
+
+def test_met_windows_whatever_a_task_holds(monkeypatch):
+    """Keys of a code that outgrows a task's limit come out as they do below it, hot ones perhaps more than once a content."""
+    rng = np.random.default_rng(6)
+    key = np.r_[np.full(300, 7 << 20), rng.integers(0, 400, 900) << 20].astype(np.uint64)
+    uid, pos = rng.integers(0, 1 << 39, 1200), rng.integers(0, 1 << 40, 1200)
+    blocks = substrings._blocks(key, uid, pos, rng.integers(0, 1 << 60, 1200).astype(np.uint64), 1)
+    rows = [(0, bytes(blocks.column("windows")[0].as_py())[at: at + 21 * 50]) for at in range(0, 1200 * 21, 21 * 50)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.binary())], ["code", "windows"])])
+    found = []
+    for limit in (1 << 21, 40, 200):
+        monkeypatch.setattr(substrings, "LIMIT", limit)
+        found.append({tuple(r.values()) for b in substrings._met(batches()) for r in b.to_pylist()})
+    counts = Counter(key.tolist())
+    want = {(k, u, p, counts[k] > substrings.PAIRS) for k, u, p in zip(key.tolist(), uid.tolist(), pos.tolist()) if counts[k] > 1}
+    assert found[0] == found[1] == found[2] == want
+
+
+def slow_features(text, entries):
+    """The features of a text by edit distances and plain loops over positions."""
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+", text.lower())]
+    low, quotes = text.lower(), "\"“”„«»‹›"
+
+    def code(w):
+        best = 0
+        for term, stem in entries:
+            d = min(levenshtein(term, f) for f in ([w[:i] for i in range(len(w) + 1)] if stem else [w]))
+            if d <= toxicity.edits(len(term), stem):
+                best = max(best, (2 if stem else 3) if d == 0 else 1)
+        return best
+
+    codes = [code(w) for w, _, _ in words]
+    sums, quoted, abuse = {1: 0.0, 2: 0.0, 3: 0.0}, 0.0, 0.0
+    for i, (_, a, b) in enumerate(words):
+        if codes[i]:
+            near = [j for j in range(max(0, i - 8), min(len(words), i + 9)) if j != i]
+            marks = any(c in quotes for c in low[max(0, a - 48): a]) and any(c in quotes for c in low[b: b + 48])
+            quotation = 0.5 * marks + 0.5 * any(words[j][0] in toxicity.REPORTING for j in near)
+            pressure = min(2.0, 0.5 * sum(codes[j] > 0 for j in near) + 0.5 * any(words[j][0] in toxicity.ADDRESS for j in near))
+            quoted, abuse = quoted + quotation, abuse + pressure * (1 - quotation)
+            sums[codes[i]] += 1 - 0.5 * quotation
+    firm = sums[3] + sums[2]
+    return [math.log1p(x) for x in (sums[3], sums[2], sums[1], quoted, abuse)] + [math.log1p(1000 * firm / len(words)) if any(codes) else 0.0, float(firm >= 1.5)]
+
+
+def test_features_equal_a_plain_reading():
+    rng = random.Random(11)
+    entries = [("trash", False), ("pathetic", False), ("bad", False), ("lowei", True)]
+    matcher = toxicity.Matcher(entries)
+    words = "trash thrash pathetic patetic bad bda loweig loweix lake hill said the word you dir of an old boat".split()
+    for _ in range(60):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ", ", " “", "” ", ' "', ". "]) for _ in range(rng.randint(1, 60)))
+        assert toxicity.features(text, matcher) == pytest.approx(slow_features(text, entries)), text
+
+
+def test_weights_are_at_the_minimum():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + x @ [1.0, -2.0, 0.3])))).astype(float)
+    w = toxicity.logistic(x, y)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (w[0] + x @ w[1:])).sum() + 0.5 * 1e-2 * (w[1:] ** 2).sum() + 0.5e-6 * w[0] ** 2
+    assert all(loss(w) <= loss(w + step) + 1e-9 for k in range(4) for step in (1e-3 * np.eye(4)[k], -1e-3 * np.eye(4)[k]))
