@@ -597,3 +597,20 @@ def test_weights_are_at_the_minimum():
     w = toxicity.logistic(x, y)
     loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (w[0] + x @ w[1:])).sum() + 0.5 * 1e-2 * (w[1:] ** 2).sum() + 0.5e-6 * w[0] ** 2
     assert all(loss(w) <= loss(w + step) + 1e-9 for k in range(4) for step in (1e-3 * np.eye(4)[k], -1e-3 * np.eye(4)[k]))
+
+
+def test_links_of_keys_and_classes():
+    """All pairs of different classes within reach, draws from the largest class, none inside a class or across keys."""
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        key, root = np.sort(rng.integers(0, 6, n)), rng.integers(0, 5, n)
+        root = root[np.lexsort((root, key))]
+        a, b = substrings._links(key, root, 64, 0)
+        assert sorted(zip(a.tolist(), b.tolist())) == [(i, j) for i in range(n) for j in range(i) if key[i] == key[j] and root[i] != root[j]]
+        a, b = substrings._links(key, root, 1, 2)
+        assert (key[a] == key[b]).all() and (root[a] != root[b]).all()
+        for k in set(key.tolist()):
+            most = max(Counter(root[key == k].tolist()).values())
+            minor = [i for i in range(n) if key[i] == k and (key[key == k].size > most) and Counter(root[key == k].tolist())[root[i]] < most]
+            assert set(minor) <= {*a.tolist(), *b.tolist()}
