@@ -119,27 +119,23 @@ def _far(where: np.ndarray, g: np.ndarray, begin: int, end: int, window: int) ->
     The minima over the cuts from (k + 1) to k windows before come from a table of minima over 2^l cuts.
     """
     first = int(np.searchsorted(where, where[begin] - QUEUES * window))
-    tables = [g[first:begin]]
-    best, kind = np.full(end - begin, np.inf), np.ones(end - begin, np.int64)
-    for k in range(1, QUEUES):
-        lo, hi = (np.searchsorted(where, where[begin:end] - window * n) - first for n in (k + 1, k))
-        lo = np.maximum(lo, 0)
-        size = hi - lo
-        some = size > 0
-        if not some.any():
-            break
-        level = np.frexp(np.maximum(size, 1))[1] - 1
-        while len(tables) <= level.max():
-            last, step = tables[-1], 1 << len(tables) - 1
-            tables.append(np.minimum(last[:-step], last[step:]))
-        value = np.full(end - begin, np.inf)
-        for n in np.unique(level[some]).tolist():
-            at = np.flatnonzero(some & (level == n))
-            value[at] = np.minimum(tables[n][lo[at]], tables[n][hi[at] - (1 << n)])
-        value += (k + 1) * window + k * HARD_CUT
-        less = value < best
-        best[less], kind[less] = value[less], k
-    return best, kind
+    known, k = g[first:begin], np.arange(1, QUEUES + 1)[:, None]
+    at = np.maximum(np.searchsorted(where, where[begin:end] - window * k) - first, 0)
+    lo, size = at[1:], at[:-1] - at[1:]
+    depth = int(size.max()).bit_length()
+    if not depth:
+        return np.full(end - begin, np.inf), np.ones(end - begin, np.int64)
+    table = np.full((depth, len(known)), np.inf)
+    table[0] = known
+    for l in range(1, depth):
+        step, n = 1 << l - 1, len(known) + 1 - (1 << l)
+        np.minimum(table[l - 1, :n], table[l - 1, step: step + n], out=table[l, :n])
+    level = np.frexp(np.maximum(size, 1))[1] - 1
+    last = np.maximum(at[:-1] - (1 << level), 0)
+    value = np.minimum(table[level, np.minimum(lo, len(known) - 1)], table[level, last]) + ((k[:-1] + 1) * window + k[:-1] * HARD_CUT)
+    value[size <= 0] = np.inf
+    kind = value.argmin(axis=0)
+    return value[kind, np.arange(end - begin)], kind + 1
 
 
 def _packer(path: str, end_id: int, window: int):
