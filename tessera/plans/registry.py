@@ -91,9 +91,12 @@ def live_objects(spark, sf_dir):
     return catalog.live(T.versions(spark, sf_dir)).select("bucket", "key", "seq", "version_id", "size", F.sha2("version_id", 256).alias("etag"))
 
 
-@query(f"""WITH {VERSIONS}, {LATEST} SELECT key, size, version_id, seq FROM latest WHERE NOT is_deleted""")
+@query(f"""WITH {VERSIONS}, {LATEST} SELECT key, size, version_id, sha256(version_id) AS etag, 'REPLICATION' AS policy, epoch_ms(o_orderdate)::BIGINT AS last_modified
+FROM latest JOIN orders ON o_orderkey = seq WHERE NOT is_deleted""")
 def head_object(spark, sf_dir):
-    return catalog.live(T.versions(spark, sf_dir)).select("key", "size", "version_id", "seq")
+    dated = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("last_modified"))
+    live = catalog.live(T.versions(spark, sf_dir)).join(dated, "seq")
+    return live.select("key", "size", "version_id", F.sha2("version_id", 256).alias("etag"), F.lit("REPLICATION").alias("policy"), "last_modified")
 
 
 @query(f"""WITH {VERSIONS}, {LATEST}, asked AS (SELECT c_mktsegment AS bucket, c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'v-' || c_custkey END AS version_id FROM customer),
@@ -240,10 +243,10 @@ def disk_usage(spark, sf_dir):
     return cluster.disk_usage(T.replicas(spark, sf_dir))
 
 
-@query(f"""WITH {NODES}, {REPLICAS}, u AS (SELECT node_id, count(*) AS chunks, sum(size)::BIGINT AS bytes FROM replicas WHERE outcome = 'A' GROUP BY 1)
+@query(f"""WITH {NODES}, {REPLICAS}, u AS (SELECT node_id, count(*) AS chunks, sum(size)::BIGINT AS bytes FROM replicas GROUP BY 1)
 SELECT node_id, rack, status, coalesce(chunks, 0)::BIGINT AS chunks, coalesce(bytes, 0)::BIGINT AS bytes FROM nodes LEFT JOIN u USING (node_id)""")
 def node_usage(spark, sf_dir):
-    return cluster.node_usage(T.nodes(spark, sf_dir), T.replicas(spark, sf_dir).filter("outcome = 'A'"))
+    return cluster.node_usage(T.nodes(spark, sf_dir), T.replicas(spark, sf_dir))
 
 
 @query(f"""WITH {NODES} SELECT rack, count(*) AS nodes, count_if(status = 'ALIVE')::BIGINT AS alive, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS members FROM nodes GROUP BY 1""")
