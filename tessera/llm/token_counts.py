@@ -30,7 +30,7 @@ from . import bpe
 from .common import materialize, partitions, scratch, table, text_or_empty
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
-FEW = 100_000
+FEW = 10_000
 
 
 def tokenizer_digest(path: str) -> str:
