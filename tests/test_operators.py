@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as fb
-from tessera.operators import antientropy, catalog, chunking, cluster, erasure, healing, integrity, multipart, placement, quorum, wal
+from tessera.operators import antientropy, catalog, chunking, cluster, erasure, gateway, healing, integrity, multipart, placement, quorum, wal
 
 NODES = [("node-1", "rack-1"), ("node-2", "rack-1"), ("node-3", "rack-2"), ("node-4", "rack-2"), ("node-5", "rack-3")]
 
@@ -226,3 +226,17 @@ def test_wal(spark):
     objects = spark.createDataFrame([("c", ["n1", "n2"]), ("d", ["n9"])], "chunk_id string, replica_nodes array<string>")
     moves = spark.createDataFrame([("c", 2, "n3", "n4"), ("c", 1, "n1", "n3"), ("c", 3, "gone", "n7")], "chunk_id string, seq long, old_node string, new_node string")
     assert rows(wal.move_replicas(objects, moves)) == [("c", ["n4", "n2", "n7"]), ("d", ["n9"])]
+
+
+def test_healing_counters_count_nodes(spark, nodes, monkeypatch):
+    """Chunk 1 can be healed; 2 is lost; 3 lies on every alive node, so no target is left.  No node is scored."""
+    alive = [n for n, _ in NODES if n != "node-1"]
+    r = [(1, "node-2", 7, 1), (2, "node-1", 5, 1)] + [(3, n, 9, i) for i, n in enumerate(alive)]
+    r = spark.createDataFrame(r, "chunk_id long, node_id string, size long, ordinal long")
+    dead = nodes.withColumn("status", F.when(F.col("node_id") == "node-1", "DEAD").otherwise("ALIVE"))
+    flags = spark.createDataFrame([(3, "node-2"), (3, "node-3")], "chunk_id long, node_id string")
+    health = healing.with_health(r, dead, flags)
+    assert rows(healing.counters(health, dead)) == [(3, 2, 1, 1, 7)]
+    assert rows(healing.counters(health.limit(0), dead)) == [(0, 0, 0, 0, 0)]
+    targets = healing.repair_targets(healing.replicated_plan(health), r, dead)
+    assert [t.chunk_id for t in targets.collect()] == [1]
