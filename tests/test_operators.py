@@ -240,3 +240,31 @@ def test_healing_counters_count_nodes(spark, nodes, monkeypatch):
     assert rows(healing.counters(health.limit(0), dead)) == [(0, 0, 0, 0, 0)]
     targets = healing.repair_targets(healing.replicated_plan(health), r, dead)
     assert [t.chunk_id for t in targets.collect()] == [1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 3, 6])
+def test_scored_rows_are_never_sorted_or_stored(spark, n):
+    """A key's scores live in one array of the list of nodes, however many there are; ties and gone nodes as in the loop."""
+    many = spark.range(40_000).select(F.col("id").alias("node_id"), (F.col("id") % 4).alias("rack"), F.lit("ALIVE").alias("status"))
+    keys = spark.createDataFrame([("chk-1",), ("chk-2",), ("chk-2",)], "key string")
+    gone = spark.createDataFrame([("chk-2", loop_placement("chk-2", [(i, i % 4) for i in range(40_000)], 1)[0]), ("chk-1", -5)], "key string, node_id long")
+    placed = placement.place(keys, many, n, excluded=gone)
+    assert not any(word in plan_of(placed) for word in ("Window", "NestedLoopJoin", "CartesianProduct"))
+    out = {g.key: g.node_id for g in gone.collect()}
+    got = {}
+    for r in sorted(placed.collect(), key=lambda r: r.pos):
+        got.setdefault(r.key, []).append(r.node_id)
+    assert got == {k: loop_placement(k, [(i, i % 4) for i in range(40_000) if i != out[k]], n) for k in out}
+
+
+def test_targets_of_more_nodes_than_a_list_holds(spark, nodes, monkeypatch):
+    df = spark.createDataFrame([(f"k{i}", ["node-1", "node-9"] if i % 2 else None) for i in range(40)] + [(None, None)], "key string, gone array<string>")
+    tables = lambda n: sorted(((r.key or "", [tuple(t) for t in r.targets], r.spare and tuple(r.spare)) for r in placement.with_targets(df, nodes, n, gone="gone", spare=True).collect()), key=str)
+    listed = [tables(n) for n in (1, 2, 4, 9)]
+    monkeypatch.setattr(placement, "MAX_NODES", 2)
+    assert listed == [tables(n) for n in (1, 2, 4, 9)]
+    assert all(len(t) == 5 - (k != "" and int(k[1:]) % 2) and s is None for k, t, s in listed[3])
