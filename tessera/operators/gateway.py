@@ -23,6 +23,20 @@ def written(objects: DataFrame, nodes: DataFrame, fails: Column, size: int = 1 <
     return sent.select("doc_id", "idx", "chunk_id", "ordinal", F.when(F.col("failed"), F.col("__spare")).otherwise(F.col("node_id")).alias("node_id"), "size", state.alias("state"))
 
 
+def outcomes(objects: DataFrame, nodes: DataFrame, fails: Column, size: int = 1 << 20, n: int = 3) -> DataFrame:
+    """``written`` without the nodes: doc_id, idx, chunk_id, ordinal, size, state, where ``fails`` is over (doc_id, idx, ordinal).
+
+    Which nodes are chosen doesn't change a state: a chunk has ``n`` targets or all alive nodes, and a surrogate if more
+    are alive, so nodes are counted and not scored.
+    """
+    parts = chunks(objects, size).select("doc_id", "idx", "chunk_id", F.length("payload").cast("long").alias("size"))
+    alive = nodes.filter(F.col("status") == "ALIVE").agg(F.count(F.lit(1)).alias("__alive"))
+    targets = F.when(F.col("__alive") > 0, F.sequence(F.lit(1).cast("long"), F.least(F.col("__alive"), F.lit(n))))
+    sent = parts.crossJoin(F.broadcast(alive)).withColumn("ordinal", F.explode(targets)).withColumn("failed", fails)
+    state = F.when(~F.col("failed"), "written").when(F.col("failed") & (F.col("__alive") > n), "hinted").otherwise("failed")
+    return sent.select("doc_id", "idx", "chunk_id", "ordinal", "size", state.alias("state"))
+
+
 def put(objects: DataFrame, writes: DataFrame, w: int = 2) -> DataFrame:
     """Version rows of a PUT: doc_id, bucket, size, etag, chunk_count, replica_count, hint_count, status.
 

@@ -66,9 +66,9 @@ writes AS (SELECT doc_id, idx, chunk_id, ordinal, CASE WHEN failed THEN spare_id
   CASE WHEN NOT failed THEN 'written' WHEN spare_id IS NOT NULL THEN 'hinted' ELSE 'failed' END AS state FROM sent LEFT JOIN spare USING (chunk_id))"""
 
 
-def _writes(spark, sf_dir):
+def _writes(spark, sf_dir, by=gateway.written):
     fails = (F.col("doc_id") + F.col("idx") + F.col("ordinal")) % 4 == 0
-    return gateway.written(T.objects(spark, sf_dir), T.nodes(spark, sf_dir), fails, CHUNK, 3)
+    return by(T.objects(spark, sf_dir), T.nodes(spark, sf_dir), fails, CHUNK, 3)
 
 
 @query(f"WITH {_WRITES} SELECT * FROM writes")
@@ -81,7 +81,7 @@ whole AS (SELECT doc_id, count(*) AS chunk_count, sum(ok)::BIGINT AS replica_cou
 SELECT d.doc_id, source AS bucket, octet_length(encode(text))::BIGINT AS size, sha256(encode(text)) AS etag, chunk_count, replica_count, hint_count, CASE WHEN least >= 2 THEN 201 ELSE 503 END::BIGINT AS status
 FROM documents d JOIN whole USING (doc_id)""")
 def put_object(spark, sf_dir):
-    return gateway.put(T.objects(spark, sf_dir), _writes(spark, sf_dir), 2)
+    return gateway.put(T.objects(spark, sf_dir), _writes(spark, sf_dir, gateway.outcomes), 2)
 
 
 _READS = f"""{CHUNKS}, reads AS (SELECT *, CASE WHEN (doc_id + idx) % 11 = 0 THEN 'missing' WHEN (doc_id + idx + o) % 5 = 0 THEN 'corrupt' WHEN (doc_id + idx + o) % 7 = 0 THEN 'missing' ELSE 'ok' END AS status

@@ -268,3 +268,19 @@ def test_targets_of_more_nodes_than_a_list_holds(spark, nodes, monkeypatch):
     monkeypatch.setattr(placement, "MAX_NODES", 2)
     assert listed == [tables(n) for n in (1, 2, 4, 9)]
     assert all(len(t) == 5 - (k != "" and int(k[1:]) % 2) and s is None for k, t, s in listed[3])
+
+
+def test_put_scores_once_or_not_at_all(spark, nodes):
+    """Targets and surrogate come from one pass over the nodes; states without node ids need none; failures as written."""
+    objects = spark.createDataFrame([(i, bytes(range(i)) * 3) for i in range(9)], "doc_id long, body binary").withColumn("bucket", F.lit("b"))
+    fails = (F.col("doc_id") + F.col("idx") + F.col("ordinal")) % 3 == 0
+    for alive in (0, 1, 2, 3, 5):
+        some = nodes.withColumn("status", F.when(F.substring("node_id", 6, 1).cast("int") <= alive, "ALIVE").otherwise("DEAD"))
+        full, states = gateway.written(objects, some, fails, 8), gateway.outcomes(objects, some, fails, 8)
+        assert plan_of(full).count("ArrowEvalPython") == 1 and "ArrowEvalPython" not in plan_of(states)
+        assert rows(full.drop("node_id")) == rows(states) and rows(gateway.put(objects, full)) == rows(gateway.put(objects, states))
+        up = [x for x in NODES if int(x[0][-1]) <= alive]
+        for r in full.collect():
+            chosen = loop_placement(r.chunk_id, up, 3)
+            spare = max((x for x in up if x[0] not in chosen), key=lambda x: hashlib.sha256(f"{r.chunk_id}:{x[0]}".encode()).digest(), default=(None,))[0]
+            assert r.node_id == (spare if (r.doc_id + r.idx + r.ordinal) % 3 == 0 else chosen[r.ordinal - 1])
