@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import erasure
 from .chunking import chunks, joined
-from .placement import place, with_targets
+from .placement import with_targets
 
 
 def written(objects: DataFrame, nodes: DataFrame, fails: Column, size: int = 1 << 20, n: int = 3) -> DataFrame:
@@ -73,11 +73,10 @@ def put_shards(objects: DataFrame, nodes: DataFrame, k: int = 4, m: int = 2) ->
 
     A cluster of fewer than k + m nodes stores fewer shards.
     """
-    own = objects.select("doc_id", F.concat(F.lit("chk-"), F.col("doc_id").cast("string")).alias("chunk_id"), erasure.encode_column(F.col("body"), k, m).alias("s"))
-    shards = own.select("doc_id", "chunk_id", F.posexplode("s").alias("shard_index", "shard"))
-    targets = place(objects.select(F.concat(F.lit("chk-"), F.col("doc_id").cast("string")).alias("chunk_id")), nodes, k + m, "chunk_id")
-    where = targets.select("chunk_id", (F.col("pos") - 1).cast("int").alias("shard_index"), "node_id")
-    return shards.join(where, ["chunk_id", "shard_index"]).select("doc_id", "chunk_id", F.col("shard_index").cast("long").alias("shard_index"), "node_id", "shard", F.sha2("shard", 256).alias("checksum"))
+    own = objects.select("doc_id", "body", F.concat(F.lit("chk-"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    placed = with_targets(own, nodes, k + m, "chunk_id").select("doc_id", "chunk_id", F.col("targets.node_id").alias("__nodes"), erasure.encode_column(F.col("body"), k, m).alias("__shards"))
+    shards = placed.select("doc_id", "chunk_id", "__nodes", F.posexplode("__shards").alias("__at", "shard")).filter(F.col("__at") < F.size("__nodes"))
+    return shards.select("doc_id", "chunk_id", F.col("__at").cast("long").alias("shard_index"), F.get("__nodes", F.col("__at")).alias("node_id"), "shard", F.sha2("shard", 256).alias("checksum"))
 
 
 def get_shards(objects: DataFrame, shards: DataFrame, k: int = 4, m: int = 2) -> DataFrame:

@@ -284,3 +284,12 @@ def test_put_scores_once_or_not_at_all(spark, nodes):
             chosen = loop_placement(r.chunk_id, up, 3)
             spare = max((x for x in up if x[0] not in chosen), key=lambda x: hashlib.sha256(f"{r.chunk_id}:{x[0]}".encode()).digest(), default=(None,))[0]
             assert r.node_id == (spare if (r.doc_id + r.idx + r.ordinal) % 3 == 0 else chosen[r.ordinal - 1])
+
+
+def test_shards_are_placed_and_made_once(spark, nodes):
+    objects = spark.createDataFrame([(i, bytes(range(i))) for i in range(9)], "doc_id long, body binary")
+    stored = gateway.put_shards(objects, nodes, 2, 1)
+    assert plan_of(stored).count("ArrowEvalPython") == 2
+    got = rows(stored.select("doc_id", "shard_index", "node_id", "shard"))
+    assert got == [(i, s, loop_placement(f"chk-{i}", NODES, 3)[s], erasure.encode(bytes(range(i)), 2, 1)[s]) for i in range(9) for s in range(3)]
+    assert gateway.put_shards(objects, nodes.limit(2), 2, 1).count() == 18
