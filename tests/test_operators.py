@@ -293,3 +293,13 @@ def test_shards_are_placed_and_made_once(spark, nodes):
     got = rows(stored.select("doc_id", "shard_index", "node_id", "shard"))
     assert got == [(i, s, loop_placement(f"chk-{i}", NODES, 3)[s], erasure.encode(bytes(range(i)), 2, 1)[s]) for i in range(9) for s in range(3)]
     assert gateway.put_shards(objects, nodes.limit(2), 2, 1).count() == 18
+
+
+def test_erasure_repairs_run_each_step_once(spark, nodes):
+    held = [(i, s, f"node-{s + 1}", x, s != i % 4) for i in range(8) for s, x in enumerate(erasure.encode(bytes(range(i)), 2, 1))]
+    shards = spark.createDataFrame(held, "chunk_id long, shard_index long, node_id string, shard binary, healthy boolean")
+    repaired = healing.erasure_repairs(shards, nodes, 2, 1)
+    assert plan_of(repaired).count("ArrowEvalPython") == 2
+    left = NODES[3:]
+    want = [(i, i % 4, loop_placement(f"{i}.s{i % 4}", left, 1)[0], erasure.encode(bytes(range(i)), 2, 1)[i % 4]) for i in range(8) if i % 4 < 3]
+    assert rows(repaired) == want
