@@ -32,6 +32,11 @@ def padded(text: Column, width: int) -> Column:
     return F.rpad(text, width, " ")
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 without the line breaks that ``base64`` puts after every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def escape_html(text: Column) -> Column:
     """The characters that HTML reserves, as character references."""
     for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

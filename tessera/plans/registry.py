@@ -609,7 +609,7 @@ def throughput(spark, sf_dir):
 @query("""SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_\\-\\.]', '_', 'g') AS name, split_part(url, '/', 3) AS host, hex(encode(url)) AS hexed, base64(encode(url)) AS b64 FROM pages""")
 def scalar_functions(spark, sf_dir):
     p = T.table(spark, sf_dir, "pages")
-    return p.select("page_id", fb.safe_name(F.col("url")).alias("name"), F.element_at(F.split("url", "/"), 3).alias("host"), F.hex(F.encode("url", "utf-8")).alias("hexed"), F.base64(F.encode("url", "utf-8")).alias("b64"))
+    return p.select("page_id", fb.safe_name(F.col("url")).alias("name"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.hex(F.encode("url", "utf-8")).alias("hexed"), fb.base64_line(F.encode("url", "utf-8")).alias("b64"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, (o_orderkey * o_orderkey)::BIGINT AS size FROM orders), p AS (SELECT *, CASE WHEN size < 1 THEN 0 ELSE least(4, floor(ln(size) / ln(1024) + 1e-12)) END AS k FROM s)

@@ -56,3 +56,14 @@ def test_entry_without_the_llm_folders(tmp_path, gone):
     assert out.returncode == 0, out.stderr
     n = len(registry.QUERIES) + 10 * (tmp_path / "copy/tessera/llm/queries.py").exists()
     assert out.stdout.split() == [str(n), "False", "True"]
+
+
+def test_scalar_functions_of_odd_urls(spark, tmp_path):
+    """Long urls (base64 of more than 76 characters), urls without a host, and none at all."""
+    urls = ["http://a.b/c", "x", "", "a/b", None, "http://é😀/ü?q=1&z", "//", "http:///x", "h\nx/y/z", "http://h/" + "u" * 200]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    con.execute(f"copy pages to '{tmp_path}/pages.parquet'")
+    got = registry.QUERIES["scalar_functions"](spark, str(tmp_path)).toPandas()
+    assert canon(got) == canon(con.execute(registry.ORACLES["scalar_functions"]).df())
