@@ -359,6 +359,42 @@ def test_exact_passages_around_a_frequent_line(spark, line):
         assert len(classes) == 100 and len(set(classes.values())) == 50
 
 
+@pytest.mark.parametrize("line", [30, 42])
+def test_near_passages_around_a_frequent_line(spark, line):
+    """Pairs that share 60 words but one, most of them a line that many other documents hold too: none is lost."""
+    rng = random.Random(line)
+    fresh = (f"w{k}" for k in range(10**9))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    common, rows = take(line), []
+    for _ in range(120):
+        own = take(60 - line)
+        at = rng.choice([0, len(own)])
+        rows.append(take(30) + own[:at] + common + own[at:] + take(30))
+        own[len(own) // 2] = next(fresh)
+        rows.append(take(30) + own[:at] + common + own[at:] + take(30))
+    rows += [take(40) + common + take(40) for _ in range(600)]
+    got = substrings.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(6)).collect()
+    classes = {r.doc_id: r.class_id for r in got}
+    assert not [k for k in range(0, 240, 2) if classes.get(k, -1) != classes.get(k + 1)]
+    assert len(classes) == 240 and len(set(classes.values())) == 120
+
+
+def test_cells_hold_each_pair_once(spark, monkeypatch):
+    """Blocks of windows meet in cells: every pair of different classes, but not those inside a key's largest class."""
+    monkeypatch.setattr(substrings, "CELL", 4)
+    monkeypatch.setattr(substrings, "_cells", lambda batches: (pa.RecordBatch.from_arrays([b.column(c).cast(pa.int64()) for c in ("x", "own", "y", "uid")], ["a", "pos_a", "b", "pos_b"]) for b in batches))
+    roots = [0] * 13 + list(range(1, 8)) + [9] * 5
+    rows = spark.createDataFrame([(1, u, 0, r, b"") for u, r in enumerate(roots)], "key long, uid long, pos long, root long, sight binary")
+    cells = defaultdict(lambda: defaultdict(set))
+    for r in substrings._all_pairs(rows).collect():
+        cells[r.a, r.b][r.pos_a].add(r.pos_b)
+    met = Counter()
+    for (x, y), side in cells.items():
+        pairs = [(u, v) for u in side[x] for v in side[y] if x != y or u < v]
+        met.update(frozenset(p) for p in pairs if roots[p[0]] != roots[p[1]])
+    assert set(met.values()) == {1} and len(met) == sum(a != b for i, a in enumerate(roots) for b in roots[:i])
+
+
 def test_long_keys_take_the_same_links(spark, monkeypatch):
     """A key of more than HELD rows gives the classes that it gives below."""
     rng = random.Random(3)
