@@ -309,6 +309,27 @@ def test_verify_joins_runs_around_an_insertion(side, inserted):
     assert substrings.verify(x, y) == [(0, len(x), 0, len(y))]
 
 
+def test_verify_searches_all_tokens_of_a_pair_at_once(monkeypatch):
+    calls, search, used = [], np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    for n in (60, 600):
+        calls.clear()
+        assert substrings.verify(np.arange(n, dtype=np.uint32), np.arange(n, dtype=np.uint32)) == [(0, n, 0, n)]
+        used.append(len(calls))
+    assert used[0] == used[1]
+
+
+def test_nearest_occurrence_is_the_first_of_two_as_near():
+    rng = np.random.default_rng(8)
+    for top in (2, 12, 60, 5000):
+        y = rng.integers(0, top, 200).astype(np.uint32)
+        order = np.argsort(y, kind="stable")
+        wanted, place = y[rng.integers(0, 200, 90)], rng.integers(-60, 260, 90)
+        lo, hi = (np.searchsorted(y[order], wanted, side=side) for side in ("left", "right"))
+        plain = [min(np.flatnonzero(y == w).tolist(), key=lambda o: abs(p - o)) for w, p in zip(wanted, place.tolist())]  # the first of equals
+        assert substrings._nearest(order, lo, hi, place).tolist() == plain
+
+
 @pytest.mark.parametrize("changed", [0, 2, 47, 49])
 def test_verify_counts_a_changed_word_near_an_end(changed):
     one = [f"w{k}" for k in range(50)]
