@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tessera.functions import bytes as fb
 from tessera.operators import antientropy, catalog, chunking, cluster, erasure, gateway, healing, integrity, multipart, placement, quorum, wal
 
@@ -303,3 +304,21 @@ def test_erasure_repairs_run_each_step_once(spark, nodes):
     left = NODES[3:]
     want = [(i, i % 4, loop_placement(f"{i}.s{i % 4}", left, 1)[0], erasure.encode(bytes(range(i)), 2, 1)[i % 4]) for i in range(8) if i % 4 < 3]
     assert rows(repaired) == want
+
+
+@pytest.mark.parametrize("name", ["erasure_repairs"])
+def test_keys_are_scored_within_the_jvm(spark, sf, name):
+    """Python is given the few ranks of a key; the hashes of all nodes are made and left in the JVM."""
+    assert "run(UDF(" in plan_of(__spark_entry__.queries()[name](spark, sf))
+
+
+@pytest.mark.parametrize("n", [1, 2, 6])
+def test_placement_of_odd_keys_and_names(spark, n):
+    """Keys and ids of any length and script, nodes without a rack, and more targets than racks, as in the loop."""
+    some = [("a", "r1"), ("b" * 70, "r1"), ("é", None), ("節点", None), ("", "r2"), ("x:y", "r2"), ("z", "r2")]
+    nodes = spark.createDataFrame([(*x, "ALIVE") for x in some], "node_id string, rack string, status string")
+    keys = ["", "k", "ключ", "k" * 54, "k" * 55, "k" * 56, "k" * 300]
+    got = {}
+    for r in sorted(placement.place(spark.createDataFrame([(k,) for k in keys], "key string"), nodes, n).collect(), key=lambda r: r.pos):
+        got.setdefault(r.key, []).append(r.node_id)
+    assert got == {k: loop_placement(k, some, n) for k in keys}
