@@ -322,3 +322,18 @@ def test_placement_of_odd_keys_and_names(spark, n):
     for r in sorted(placement.place(spark.createDataFrame([(k,) for k in keys], "key string"), nodes, n).collect(), key=lambda r: r.pos):
         got.setdefault(r.key, []).append(r.node_id)
     assert got == {k: loop_placement(k, some, n) for k in keys}
+
+
+def tasks_with_rows(placed):
+    return placed.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_surrogates_of_distinct_keys_are_placed_in_many_tasks(spark, nodes):
+    """Keys that a query made distinct, and a join with the excluded nodes, leave no dealing of few bytes to one task."""
+    held = spark.range(4000).select((F.col("id") % 2000).alias("chunk_id"), F.concat(F.lit("node-"), (1 + F.col("id") % 5).cast("string")).alias("node_id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # as many as keys are dealt to
+    try:
+        assert tasks_with_rows(placement.surrogate(held.select("chunk_id").distinct(), nodes, held, "chunk_id")) > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
