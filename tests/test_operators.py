@@ -306,7 +306,7 @@ def test_erasure_repairs_run_each_step_once(spark, nodes):
     assert rows(repaired) == want
 
 
-@pytest.mark.parametrize("name", ["erasure_repairs", "repair_targets", "placement_ec6", "placement_top3", "put_shards"])
+@pytest.mark.parametrize("name", ["erasure_repairs", "repair_targets", "placement_ec6", "placement_top3", "put_shards", "put_writes", "placement_surrogate"])
 def test_keys_are_scored_within_the_jvm(spark, sf, name):
     """Python is given the few ranks of a key; the hashes of all nodes are made and left in the JVM."""
     assert "run(UDF(" in plan_of(__spark_entry__.queries()[name](spark, sf))
